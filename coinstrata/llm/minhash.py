@@ -202,7 +202,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         merged = components(joined)
         if merged.isEmpty():
             continue
-        step = merged.withColumnsRenamed({"node": "comp", "comp": "to"})
+        step = merged.select(F.col("node").alias("comp"), F.col("comp").alias("to"))
         label = label.join(step, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
         # nodes that had no link before
         label = saved(label.unionByName(merged.join(label, "node", "left_anti")), f"minhash-label-{turn}")
