@@ -116,8 +116,16 @@ def train(rows: list[tuple[str, str]], seed: int = 7) -> LanguageModel:
             # an average over many n-grams hands each a small part; scale it back as for sparse features
             embedding[ids] -= np.outer(rate * np.sqrt(share), back)
     model = LanguageModel(languages, (embedding @ weights).astype(np.float32), bias.astype(np.float64))
-    z = np.array([model.logits(rows[i][0]) for i in kept_out])
-    y = np.array([languages.index(rows[i][1]) for i in kept_out])
+    # calibrated on short segments of the rows kept out, where doubt is: whole texts are nearly all certain
+    z, y = [], []
+    for i in kept_out:
+        g = grams(rows[i][0])
+        parts = max(1, len(rows[i][0]) // SEGMENT)
+        for j in range(min(parts, 20)):
+            if len(g[j::parts]):
+                z.append(model.table[g[j::parts]].mean(axis=0, dtype=np.float64) + model.bias)
+                y.append(languages.index(rows[i][1]))
+    z, y = np.array(z), np.array(y)
 
     def probabilities(temperature: float) -> np.ndarray:
         e = np.exp((z - z.max(axis=1, keepdims=True)) / temperature)
@@ -126,7 +134,7 @@ def train(rows: list[tuple[str, str]], seed: int = 7) -> LanguageModel:
     def loss(temperature: float) -> float:
         return float(-np.log(probabilities(temperature)[np.arange(len(y)), y] + 1e-12).mean())
 
-    model.temperature = float(min(np.geomspace(0.05, 20, 60), key=loss))
+    model.temperature = float(min(np.geomspace(0.2, 20, 60), key=loss))
     p = probabilities(model.temperature)
     right = p.max(axis=1)[p.argmax(axis=1) == y]
     if len(right):

@@ -138,5 +138,87 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in named}
 
 
+def _op1_sql(rounds: int = 60, steps: int = 12) -> str:
+    """The fit unrolled: each round scales source, language and topic in turn; the budget is then filled in steps."""
+    size = "length(coalesce(text, ''))"
+    out = f"""
+WITH d AS MATERIALIZED (
+  SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, greatest(1, CAST(ceil(strlen(coalesce(text, '')) / 4.0) AS BIGINT)) AS tokens,
+    CASE WHEN {size} < 400 THEN 'note' WHEN {size} < 2000 THEN 'short' WHEN {size} < 10000 THEN 'article' ELSE 'long' END AS topic
+  FROM documents),
+c AS MATERIALIZED (SELECT source, lang, topic, CAST(sum(tokens) AS BIGINT) AS tokens FROM d GROUP BY 1, 2, 3),
+w0 AS MATERIALIZED (SELECT *, CAST(tokens AS DOUBLE) AS w FROM c)"""
+    for k, e in mixing.TEMPER.items():
+        out += f""",
+t_{k} AS MATERIALIZED (SELECT {k}, pow(sum(tokens), {e}) / (SELECT sum(x) FROM (SELECT pow(sum(tokens), {e}) AS x FROM c GROUP BY {k})) AS target FROM c GROUP BY {k})"""
+    n = 0
+    for _ in range(rounds):
+        for k in mixing.TEMPER:
+            out += f""",
+w{n + 1} AS MATERIALIZED (SELECT a.* REPLACE (w * target / sum(w) OVER (PARTITION BY a.{k}) AS w) FROM w{n} a JOIN t_{k} t ON t.{k} = a.{k})"""
+            n += 1
+    out += f""",
+f0 AS MATERIALIZED (SELECT 0.0::DOUBLE AS f)"""
+    for k in range(steps):
+        out += f""",
+f{k + 1} AS MATERIALIZED (
+  SELECT CASE WHEN sum(CASE WHEN f * w < tokens THEN w ELSE 0 END) > 0 THEN
+    ((SELECT sum(tokens) FROM c) * {mixing.BUDGET_SHARE} - sum(CASE WHEN f * w >= tokens THEN tokens ELSE 0 END)) / sum(CASE WHEN f * w < tokens THEN w ELSE 0 END)
+    ELSE any_value(f) END AS f FROM w{n}, f{k})"""
+    draw = f"('0x' || substr(md5('{mixing.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8))::BIGINT / 4294967296.0"
+    return out + f"""
+SELECT doc_id, d.source, d.lang, d.topic, d.tokens, round(least(1, f * w / a.tokens), 6) AS prob, {draw} < least(1, f * w / a.tokens) AS kept
+FROM d JOIN w{n} a ON a.source = d.source AND a.lang = d.lang AND a.topic = d.topic, f{steps}
+"""
+
+
+def _op3_sql() -> str:
+    marks = {"user": chat.USER, "assistant": chat.ASSISTANT, "system": chat.SYSTEM}
+    width = " ".join(f"WHEN '{r}' THEN {sum(map(len, m))}" for r, m in marks.items())
+    other = sum(map(len, chat.OTHER)) + len(chat.NAMED)
+    escapes = lambda x: " + ".join(f"(length({x}) - length(replace({x}, '{c}', ''))) // {len(c)}" for c in chat.CONTROLS)
+    return f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+u AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS before FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length(text) + {escapes('text')} + CASE WHEN before IS NOT DISTINCT FROM role AND before IS NOT NULL THEN {len(chat.NEXT)}
+    ELSE CASE role {width} ELSE {other} + length(role) + {escapes('role')} END END) AS BIGINT) AS formatted_chars
+FROM u GROUP BY conv_id
+"""
+
+
+def _op5_sql() -> str:
+    fixed = " UNION ALL ".join(f"SELECT '{a}', '{b}', '{c}', {d}" for a, b, c, d in FIXED_ENTRIES)
+    scheme = "^[A-Za-z][A-Za-z0-9+.-]*://"
+    return f"""
+WITH p AS (
+  SELECT page_id, url, 1640995200 + (page_id * 7919 * 3600) % (1096 * 86400) AS fetched,
+    lower(regexp_extract(coalesce(url, ''), '{scheme}(?:[^/?#@]*@)?([^/?#:]+)', 1)) AS host, lower(regexp_extract(coalesce(url, ''), '{scheme}[^/?#]*(/[^?#]*)', 1)) AS path
+  FROM pages),
+hosts AS (SELECT DISTINCT host, ('0x' || substr(md5(host), 1, 7))::BIGINT AS h FROM p WHERE host <> ''),
+e(list, k, action, since) AS (
+  {fixed}
+  UNION ALL SELECT 'hosts', host, CASE h % 2 WHEN 0 THEN 'block' ELSE 'allow' END, 1640995200 + h % 700 * 86400 FROM hosts WHERE h % 3 < 2
+  UNION ALL SELECT 'hosts', host, 'remove', 1640995200 + (h % 700 + 90) * 86400 FROM hosts WHERE h % 3 < 2 AND h % 2 = 0
+  UNION ALL SELECT 'hosts', host, 'block', 1640995200 + (h % 700 + CASE h % 2 WHEN 0 THEN 300 ELSE 200 END) * 86400 FROM hosts WHERE h % 3 < 2),
+i AS (SELECT *, lead(since) OVER (PARTITION BY list, k ORDER BY since) AS until FROM e),
+keys AS (
+  SELECT DISTINCT page_id, url, fetched, host, unnest(list_concat(
+    list_transform(range(1, len(string_split(host, '.')) + 1), lambda n: array_to_string(string_split(host, '.')[n:], '.')),
+    CASE WHEN path = '' THEN [] ELSE list_transform(range(1, len(string_split(substr(path, 2), '/')) + 1), lambda n: host || '/' || array_to_string(string_split(substr(path, 2), '/')[:n], '/')) END)) AS k
+  FROM p WHERE url IS NOT NULL AND page_id IS NOT NULL),
+hit AS (SELECT keys.*, list, action FROM keys JOIN i ON i.k = keys.k AND action <> 'remove' AND since <= fetched AND (until IS NULL OR fetched < until)),
+v AS (
+  SELECT page_id, list || ':' || k AS decided_by, action, count(*) OVER (PARTITION BY page_id) AS n FROM hit
+  QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(k) DESC, action = 'block' DESC, list DESC, k DESC) = 1)
+SELECT p.page_id, url, fetched, host, coalesce(n, 0) AS n_active, decided_by, coalesce(action = 'block', FALSE) AS blocked FROM p LEFT JOIN v ON v.page_id = p.page_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The other operators need digests, positions or models that SQL lacks; tests hold them against brute force."""
+    return {"op1_mixing": _op1_sql(), "op3_chat": _op3_sql(), "op5_urls": _op5_sql()}
