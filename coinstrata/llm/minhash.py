@@ -31,7 +31,7 @@ BITS, SIGNED = 2, 128
 LANES = BITS * SIGNED // 64
 #: Standard errors by which an estimate may fall short of the threshold before a candidate is given up.
 SLACK = 5.0
-FEWER, CACHED_WORDS, CHUNK = 0x9E3779B97F4A7C15, 200_000, 1024
+FEWER, CACHED_WORDS, CHUNK = 0x9E3779B97F4A7C15, 200_000, 512
 MIX_1, MIX_2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
 
@@ -42,8 +42,10 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh64_intdigest(word)
+    """64-bit hash of each word, as bytes; a bounded table."""
+
+    def __missing__(self, word: bytes) -> bytes:
+        h = xxhash.xxh64_digest(word)
         if len(word) <= 40:
             if len(self) > CACHED_WORDS:
                 self.clear()
@@ -56,7 +58,7 @@ def shingle_set(text: str | None, n: int, hashes: WordHashes) -> np.ndarray:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    w = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+    w = np.frombuffer(b"".join(map(hashes.__getitem__, words)), ">u8").astype(np.uint64)
     k = min(n, len(w))
     h = np.full(len(w) - k + 1, FEWER + (n - k), np.uint64)
     for j in range(k):
@@ -65,16 +67,20 @@ def shingle_set(text: str | None, n: int, hashes: WordHashes) -> np.ndarray:
 
 
 def _functions() -> tuple[np.ndarray, np.ndarray]:
+    """Odd factors and summands of the hash functions x * a + b mod 2**32, each a permutation of 32-bit numbers."""
     rng = np.random.default_rng(20240229)
-    a = rng.integers(0, 2**64, HASHES, dtype=np.uint64) | np.uint64(1)
-    return a[:, None], rng.integers(0, 2**64, HASHES, dtype=np.uint64)[:, None]
+    a = rng.integers(0, 2**32, HASHES, dtype=np.uint32) | np.uint32(1)
+    return a[:, None], rng.integers(0, 2**32, HASHES, dtype=np.uint32)[:, None]
 
 
 def minima(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    low = np.full(HASHES, 2**64 - 1, np.uint64)
-    for i in range(0, len(shingles), CHUNK):
-        np.minimum(low, (shingles[None, i : i + CHUNK] * a + b).min(axis=1), out=low)
-    return _mix(low)
+    low = np.full(HASHES, 2**32 - 1, np.uint32)
+    short = shingles.astype(np.uint32)
+    for i in range(0, len(short), CHUNK):
+        h = short[None, i : i + CHUNK] * a
+        h += b
+        np.minimum(low, h.min(axis=1), out=low)
+    return _mix(low.astype(np.uint64))
 
 
 def pack_bits(low: np.ndarray) -> np.ndarray:
