@@ -3,8 +3,9 @@
 Each document's set of word shingles is reduced to minima under ``HASHES`` hash functions. Bands of ``ROWS`` minima
 propose candidates; the packed low bits of the minima estimate the similarity, corrected for accidental agreement
 of bits, by counting bits; links are confirmed on the full sets. Equal sets are one node from the start, and a
-bucket of n nodes is first compared with one hub rather than with itself, so that large groups of copies cost n
-comparisons; what is left in different components of one bucket is then compared in full.
+bucket of n nodes is first compared with one hub, then with others, rather than with itself, so that large groups of
+copies cost n comparisons; what is left in different components of one bucket is compared in full, by long signatures
+in blocks, so no link is given up to save work.
 
 Defined results: words are runs of bytes other than ASCII white space, with A-Z lower-cased; a document of fewer
 words than a shingle is one shingle; a null text or one without words has the empty set and no links; rows that
@@ -28,6 +29,8 @@ BANDS, ROWS = 30, 5
 HASHES = BANDS * ROWS
 #: Low bits kept of each minimum; SIGNED minima make LANES 64-bit words.
 BITS, SIGNED = 2, 128
+#: Minima of the long signatures that documents get whose buckets stay in several components, and nodes in a block.
+LONG, BLOCK = 4096, 128
 LANES = BITS * SIGNED // 64
 #: Standard errors by which an estimate may fall short of the threshold before a candidate is given up.
 SLACK = 5.0
@@ -66,15 +69,15 @@ def shingle_set(text: str | None, n: int, hashes: WordHashes) -> np.ndarray:
     return np.unique(h)
 
 
-def _functions() -> tuple[np.ndarray, np.ndarray]:
-    """Odd factors and summands of the hash functions x * a + b mod 2**32, each a permutation of 32-bit numbers."""
-    rng = np.random.default_rng(20240229)
-    a = rng.integers(0, 2**32, HASHES, dtype=np.uint32) | np.uint32(1)
-    return a[:, None], rng.integers(0, 2**32, HASHES, dtype=np.uint32)[:, None]
+def _functions(n: int = HASHES) -> tuple[np.ndarray, np.ndarray]:
+    """Odd factors and summands of ``n`` hash functions x * a + b mod 2**32, each a permutation of 32-bit numbers."""
+    rng = np.random.default_rng([20240229, n])
+    a = rng.integers(0, 2**32, n, dtype=np.uint32) | np.uint32(1)
+    return a[:, None], rng.integers(0, 2**32, n, dtype=np.uint32)[:, None]
 
 
 def minima(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    low = np.full(HASHES, 2**32 - 1, np.uint32)
+    low = np.full(len(a), 2**32 - 1, np.uint32)
     short = shingles.astype(np.uint32)
     for i in range(0, len(short), CHUNK):
         h = short[None, i : i + CHUNK] * a
@@ -83,9 +86,9 @@ def minima(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return _mix(low.astype(np.uint64))
 
 
-def pack_bits(low: np.ndarray) -> np.ndarray:
-    """The low BITS bits of SIGNED minima, SIGNED * BITS / 64 signed 64-bit words."""
-    values = (low[:SIGNED] & np.uint64(2**BITS - 1)).reshape(LANES, -1)
+def pack_bits(low: np.ndarray, n: int = SIGNED) -> np.ndarray:
+    """The low BITS bits of ``n`` minima as signed 64-bit words."""
+    values = (low[:n] & np.uint64(2**BITS - 1)).reshape(n * BITS // 64, -1)
     shifts = np.arange(0, 64, BITS, dtype=np.uint64)
     return (values << shifts).sum(axis=1, dtype=np.uint64).view(np.int64)
 
@@ -145,11 +148,11 @@ def agreeing(a: Column, b: Column) -> Column:
     return F.lit(SIGNED) - differ
 
 
-def least_agreement(similarity: float) -> int:
+def least_agreement(similarity: float, n: int = SIGNED) -> int:
     """Of two sets this similar, values agree with p = C + (1 - C) * similarity, C = 2 ** -BITS by accident."""
     c = 2.0**-BITS
     p = c + (1 - c) * similarity
-    return int(SIGNED * p - SLACK * (SIGNED * p * (1 - p)) ** 0.5)
+    return int(n * p - SLACK * (n * p * (1 - p)) ** 0.5)
 
 
 def estimate(a: Column, b: Column) -> Column:
@@ -182,8 +185,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     label = components(found.select(F.col("lo").alias("a"), F.col("hi").alias("b")))
 
     for turn in (1, 2, 3):
-        live = _unsettled(shared, label)
-        live = saved(live, f"minhash-live-{turn}")
+        live = saved(_unsettled(shared, label), f"minhash-live-{turn}")
         if live.isEmpty():
             break
         if turn < 3:
@@ -193,16 +195,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
             pairs = live.join(drawn, "band").filter("comp <> h.comp").select(F.least("node", "h.node").alias("lo"), F.greatest("node", "h.node").alias("hi")).distinct()
             more = _confirm(docs, pairs, sig, words, percent)
         else:
-            # exact for what remains: all pairs across components that the signatures don't rule out
-            signed = live.join(sig, "node")
-            x, y = signed.alias("x"), signed.alias("y")
-            close = agreeing(F.col("x.sig"), F.col("y.sig")) >= least_agreement(percent / 100)
-            pairs = (
-                x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.comp") < F.col("y.comp")) & close)
-                .select(F.least("x.node", "y.node").alias("lo"), F.greatest("x.node", "y.node").alias("hi"))
-                .distinct()
-            )
-            more = _confirm(docs, pairs, sig, words, percent)
+            more = _confirm(docs, _across(docs, live, nodes, words, percent), None, words, percent)
         joined = more.select(F.col("lo").alias("node"), "hi").join(label, "node", "left").select(F.coalesce("comp", "node").alias("a"), F.col("hi").alias("node"))
         joined = joined.join(label, "node", "left").select("a", F.coalesce("comp", "node").alias("b")).filter("a <> b").distinct()
         merged = components(joined)
@@ -221,6 +214,60 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "n_copies")
 
 
+def long_signatures(docs: DataFrame, words: int) -> DataFrame:
+    """node, bits: the low BITS bits of LONG minima, packed, for the few documents that need close estimates."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, (a, b) = WordHashes(), _functions(LONG)
+        for batch in batches:
+            made = [pack_bits(minima(shingle_set(t.as_py(), words, hashes), a, b), LONG).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["node", "bits"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "node long, bits binary")
+
+
+def _across(docs: DataFrame, live: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
+    """lo, hi: the pairs of nodes that share a bucket but no component and whose long signatures are close enough.
+
+    Buckets are cut into blocks of about BLOCK nodes, and blocks of one bucket are joined: a task compares two blocks
+    of signatures at a time and gives only the pairs that pass, each in the first bucket that its nodes share.
+    """
+    ids = live.select("node").distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    signed = saved(long_signatures(texts.join(ids, texts.doc_id == ids.node, "left_semi"), words).dropDuplicates(["node"]), "minhash-long")
+    blocks = live.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block")
+    rows = live.select("node", "band", "comp").join(blocks, "band").select("node", "band", "comp", block)
+    rows = rows.join(signed, "node").join(nodes.select("node", "bands"), "node")
+    lists = saved(rows.groupBy("band", "block").agg(F.collect_list(F.struct("node", "comp", "bits", "bands")).alias("n")), "minhash-blocks")
+    x, y = lists.alias("x"), lists.alias("y")
+    met = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.block") <= F.col("y.block"))).select("x.band", F.col("x.n").alias("a"), F.col("y.n").alias("b"))
+    least = least_agreement(percent / 100, LONG)
+
+    def columns(n: pa.Scalar) -> tuple[np.ndarray, ...]:
+        rows = n.values
+        bits = np.frombuffer(b"".join(rows.field("bits").to_pylist()), np.uint64).reshape(len(rows), -1)
+        bands = np.array(rows.field("bands").to_pylist(), np.int64)
+        return rows.field("node").to_numpy(), rows.field("comp").to_numpy(), bits, bands
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        odd, one = np.uint64(0x5555555555555555), np.uint64(1)
+        for batch in batches:
+            lo, hi = [], []
+            for band, left, right in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                (n, c, s, h), (m, d, t, k) = columns(left), columns(right)
+                for i in range(len(n)):
+                    others = np.flatnonzero(d != c[i])
+                    differ = s[i] ^ t[others]
+                    differ = np.bitwise_count((differ | (differ >> one)) & odd).sum(axis=1, dtype=np.int64)
+                    for j in others[LONG - differ >= least]:
+                        if h[i][np.flatnonzero(h[i] == k[j])[0]] == band:
+                            lo.append(min(n[i], m[j])), hi.append(max(n[i], m[j]))
+            yield pa.RecordBatch.from_arrays([pa.array(lo, pa.int64()), pa.array(hi, pa.int64())], names=["lo", "hi"])
+
+    return met.mapInArrow(run, "lo long, hi long").distinct()
+
+
 def _unsettled(shared: DataFrame, label: DataFrame) -> DataFrame:
     """Rows of buckets whose nodes are in more than one component: node, band, hub, comp."""
     now = shared.select("node", "band", "hub").join(label, "node", "left").select("node", "band", "hub", F.coalesce("comp", "node").alias("comp"))
@@ -228,12 +275,14 @@ def _unsettled(shared: DataFrame, label: DataFrame) -> DataFrame:
     return now.join(split, "band", "left_semi")
 
 
-def _confirm(docs: DataFrame, pairs: DataFrame, sig: DataFrame, words: int, percent: int) -> DataFrame:
+def _confirm(docs: DataFrame, pairs: DataFrame, sig: DataFrame | None, words: int, percent: int) -> DataFrame:
     """Of candidate pairs lo, hi those whose whole sets reach the threshold; the estimate rules out most others."""
-    lo, hi = sig.select(F.col("node").alias("lo"), F.col("sig").alias("s")), sig.select(F.col("node").alias("hi"), F.col("sig").alias("t"))
-    close = pairs.join(lo, "lo").join(hi, "hi").filter(agreeing(F.col("s"), F.col("t")) >= least_agreement(percent / 100))
+    close = pairs
+    if sig is not None:
+        lo, hi = sig.select(F.col("node").alias("lo"), F.col("sig").alias("s")), sig.select(F.col("node").alias("hi"), F.col("sig").alias("t"))
+        close = close.join(lo, "lo").join(hi, "hi").filter(agreeing(F.col("s"), F.col("t")) >= least_agreement(percent / 100))
     close = saved(close.select("lo", "hi"), "minhash-close")
-    needed = close.select(F.explode(F.array("lo", "hi")).alias("node")).distinct()
+    needed = close.select(F.col("lo").alias("node")).unionByName(close.select(F.col("hi").alias("node"))).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = saved(shingle_sets(texts.join(needed, texts.doc_id == needed.node, "left_semi"), words), "minhash-sets")
     both = close.join(sets.select(F.col("node").alias("lo"), F.col("set").alias("s")), "lo").join(sets.select(F.col("node").alias("hi"), F.col("set").alias("t")), "hi")
