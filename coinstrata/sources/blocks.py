@@ -38,7 +38,7 @@ def decode_blocks(staged: DataFrame, chain: str) -> DataFrame:
 def staged_blocks(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
     """height, raw of staged block files ``<height>.blk`` that hold hex digits; Spark lists and reads them."""
     files = spark.read.text(path, wholetext=True, pathGlobFilter="*.blk").select("value", F.col("_metadata.file_name").alias("name"))
-    rows = files.select(F.substring_index("name", ".", 1).try_cast("bigint").alias("height"), F.unhex(F.trim("value")).alias("raw")).filter("height is not null and raw is not null")
+    rows = files.select(F.substring_index("name", ".", 1).try_cast("bigint").alias("height"), F.unhex(F.regexp_replace("value", "[^0-9a-fA-F]", "")).alias("raw")).filter("height is not null and raw is not null")
     return rows.repartition(partitions, "height") if partitions else rows
 
 
