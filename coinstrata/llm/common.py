@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,3 +37,24 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 
 def parts_for(n_rows: int, rows_per_part: int) -> int:
     return max(1, -(-n_rows // rows_per_part))
+
+
+#: Bits of the map that ``split_by_keys`` broadcasts: at most BITMAP / 64 rows, whatever the data.
+BITMAP = 1 << 23
+
+
+def split_by_keys(rows: DataFrame, column: Column, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows whose ``column`` may be in the single column of ``keys``, and rows where it surely is not.
+
+    A bitmap of hashes, of fixed size, is broadcast, so that wide rows are not shuffled to meet the few keys. The
+    first part still needs an exact join. Null is a key like another.
+    """
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(BITMAP))
+    own = keys.select(bit(F.col(keys.columns[0])).alias("__bit"))
+    word, mask = F.floor(F.col("__bit") / 64), F.expr("shiftleft(1L, cast(__bit % 64 as int))")
+    words = own.groupBy(word.alias("__word")).agg(F.bit_or(mask).alias("__bits"))
+    marked = rows.withColumn("__bit", bit(column))
+    marked = marked.withColumns({"__at": F.floor(F.col("__bit") / 64), "__mask": F.expr("shiftleft(1L, cast(__bit % 64 as int))")})
+    joined = marked.join(F.broadcast(words), F.col("__at") == F.col("__word"), "left")
+    inside = F.coalesce(F.col("__bits").bitwiseAND(F.col("__mask")) != 0, F.lit(False))
+    return joined.filter(inside).select(*rows.columns), joined.filter(~inside).select(*rows.columns)

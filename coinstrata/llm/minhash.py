@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import saved, split_by_keys
 from .graph import components
 
 BANDS, ROWS = 30, 5
@@ -208,7 +208,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     out = members.join(label, "node", "left").select(
         "doc_id",
         "n_shingles",
-        F.coalesce("comp", "node", "doc_id").alias("component_id"),
+        F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "node", "doc_id")).alias("component_id"),
         F.coalesce("n_copies", F.lit(1)).alias("n_copies"),
     )
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "n_copies")
@@ -233,8 +233,7 @@ def _across(docs: DataFrame, live: DataFrame, nodes: DataFrame, words: int, perc
     of signatures at a time and gives only the pairs that pass, each in the first bucket that its nodes share.
     """
     ids = live.select("node").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = saved(long_signatures(texts.join(ids, texts.doc_id == ids.node, "left_semi"), words).dropDuplicates(["node"]), "minhash-long")
+    signed = saved(long_signatures(_texts_of(docs, ids), words).dropDuplicates(["node"]), "minhash-long")
     blocks = live.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block")
     rows = live.select("node", "band", "comp").join(blocks, "band").select("node", "band", "comp", block)
@@ -275,6 +274,13 @@ def _unsettled(shared: DataFrame, label: DataFrame) -> DataFrame:
     return now.join(split, "band", "left_semi")
 
 
+def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id, text of the documents in ``ids`` (node)."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    maybe, _ = split_by_keys(texts, F.col("doc_id"), ids)
+    return maybe.join(ids, maybe.doc_id == ids.node, "left_semi")
+
+
 def _confirm(docs: DataFrame, pairs: DataFrame, sig: DataFrame | None, words: int, percent: int) -> DataFrame:
     """Of candidate pairs lo, hi those whose whole sets reach the threshold; the estimate rules out most others."""
     close = pairs
@@ -283,8 +289,7 @@ def _confirm(docs: DataFrame, pairs: DataFrame, sig: DataFrame | None, words: in
         close = close.join(lo, "lo").join(hi, "hi").filter(agreeing(F.col("s"), F.col("t")) >= least_agreement(percent / 100))
     close = saved(close.select("lo", "hi"), "minhash-close")
     needed = close.select(F.col("lo").alias("node")).unionByName(close.select(F.col("hi").alias("node"))).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = saved(shingle_sets(texts.join(needed, texts.doc_id == needed.node, "left_semi"), words), "minhash-sets")
+    sets = saved(shingle_sets(_texts_of(docs, needed), words), "minhash-sets")
     both = close.join(sets.select(F.col("node").alias("lo"), F.col("set").alias("s")), "lo").join(sets.select(F.col("node").alias("hi"), F.col("set").alias("t")), "hi")
     same = F.size(F.array_intersect("s", "t"))
     both = both.select("lo", "hi", same.alias("same"), (F.size("s") + F.size("t") - same).alias("either"))
@@ -293,5 +298,6 @@ def _confirm(docs: DataFrame, pairs: DataFrame, sig: DataFrame | None, words: in
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each group of near-duplicates; all columns stay."""
-    gone = near_duplicates(docs, words, percent).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs.doc_id.cast("long") == gone._gone, "left_anti")
+    gone = saved(near_duplicates(docs, words, percent).filter("not kept").select(F.col("doc_id").alias("__gone")).distinct(), "minhash-gone")
+    maybe, clear = split_by_keys(docs, F.col("doc_id").cast("long"), gone)
+    return clear.unionByName(maybe.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti"))
