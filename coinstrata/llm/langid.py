@@ -154,11 +154,14 @@ def training_rows(docs: DataFrame, where: Column, per_language: int = DOCS_PER_L
     return [(r["text"], r["lang"]) for r in drawn.collect()]
 
 
-def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """All columns of ``docs`` but those of the same names, and lang_pred, score, rejected."""
-    docs = docs.drop("lang_pred", "score", "rejected")
+FOUND = ("lang_pred", "score", "rejected")
+
+
+def identify(docs: DataFrame, model: LanguageModel, names: tuple[str, str, str] = FOUND) -> DataFrame:
+    """All columns of ``docs`` but those of the same names, and the language, its score, and whether it is rejected."""
+    docs = docs.drop(*names)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())]
+    added = [T.StructField(n, t) for n, t in zip(names, (T.StringType(), T.DoubleType(), T.BooleanType()))]
     schema = T.StructType([*docs.schema.fields, *added])
     at = docs.columns.index("text")
 
@@ -168,7 +171,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
             found = [m.predict(t.as_py()) for t in b.column(at)]
             yield pa.RecordBatch.from_arrays(
                 [*b.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), pa.array([x[2] for x in found], pa.bool_())],
-                names=[*b.schema.names, "lang_pred", "score", "rejected"],
+                names=[*b.schema.names, *names],
             )
 
     return docs.mapInArrow(run, schema)

@@ -37,21 +37,21 @@ def estimated_tokens() -> Column:
 
 
 def keyed(docs: DataFrame, topic: Column | None = None, tokens: Column | None = None) -> DataFrame:
-    """``docs`` with _source, _lang, _topic, _tokens."""
+    """``docs`` with __mix_source, __mix_lang, __mix_topic, __mix_tokens."""
     blank = F.lit("")
     return docs.withColumns(
         {
-            "_source": F.coalesce(F.col("source").cast("string"), blank),
-            "_lang": F.coalesce(F.col("lang").cast("string"), blank),
-            "_topic": F.coalesce(form_topic() if topic is None else topic, blank),
-            "_tokens": estimated_tokens() if tokens is None else tokens,
+            "__mix_source": F.coalesce(F.col("source").cast("string"), blank),
+            "__mix_lang": F.coalesce(F.col("lang").cast("string"), blank),
+            "__mix_topic": F.coalesce(form_topic() if topic is None else topic, blank),
+            "__mix_tokens": estimated_tokens() if tokens is None else tokens,
         }
     )
 
 
 def cells_of(rows: DataFrame) -> DataFrame:
     """source, lang, topic, tokens, docs: one row for each cell that has documents. Sums are taken before the shuffle."""
-    named = rows.select(*(F.col(f"_{d}").alias(d) for d in DIMENSIONS), F.col("_tokens").alias("tokens"))
+    named = rows.select(*(F.col(f"__mix_{d}").alias(d) for d in DIMENSIONS), F.col("__mix_tokens").alias("tokens"))
     return named.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("docs"))
 
 
@@ -114,12 +114,12 @@ def probabilities(docs: DataFrame, targets: dict[str, DataFrame] | None = None,
 
 
 def weighed(docs: DataFrame, cells: DataFrame, seed: str = SEED, topic: Column | None = None, tokens: Column | None = None) -> DataFrame:
-    """``docs`` with _source, _lang, _topic, _tokens, _weight, _prob, _kept. Spark broadcasts the cells while they are small."""
-    named = cells.select(*(F.col(d).alias(f"_{d}") for d in DIMENSIONS), F.col("weight").alias("_weight"), F.col("prob").alias("_prob"))
-    joined = keyed(docs, topic, tokens).join(named, [f"_{d}" for d in DIMENSIONS], "left")
-    return joined.withColumn("_kept", uniform(seed) < F.col("_prob"))
+    """``docs`` with __mix_source, __mix_lang, __mix_topic, __mix_tokens, __mix_weight, __mix_prob, __mix_kept. Spark broadcasts the cells while they are small."""
+    named = cells.select(*(F.col(d).alias(f"__mix_{d}") for d in DIMENSIONS), F.col("weight").alias("__mix_weight"), F.col("prob").alias("__mix_prob"))
+    joined = keyed(docs, topic, tokens).join(named, [f"__mix_{d}" for d in DIMENSIONS], "left")
+    return joined.withColumn("__mix_kept", uniform(seed) < F.col("__mix_prob"))
 
 
 def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, budget_share: float = BUDGET_SHARE, seed: str = SEED) -> DataFrame:
     """The documents drawn, with the columns of ``docs``."""
-    return weighed(docs, probabilities(docs, targets, budget_share), seed).filter("_kept").select(*docs.columns)
+    return weighed(docs, probabilities(docs, targets, budget_share), seed).filter("__mix_kept").select(*docs.columns)

@@ -24,12 +24,12 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.weighed(docs, mixing.probabilities(docs))
     return found.select(
         "doc_id",
-        F.col("_source").alias("source"),
-        F.col("_lang").alias("lang"),
-        F.col("_topic").alias("topic"),
-        F.col("_tokens").alias("tokens"),
-        F.round("_prob", 6).alias("prob"),
-        F.col("_kept").alias("kept"),
+        F.col("__mix_source").alias("source"),
+        F.col("__mix_lang").alias("lang"),
+        F.col("__mix_topic").alias("topic"),
+        F.col("__mix_tokens").alias("tokens"),
+        F.round("__mix_prob", 6).alias("prob"),
+        F.col("__mix_kept").alias("kept"),
     )
 
 

@@ -23,8 +23,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import saved, split_by_keys
 
+#: Names that no column of a caller's has.
+ID, SPANS = "__secret_id", "__secret_spans"
 #: Alternatives kept as exact strings while a query is derived, and members of a class that are spelled out.
 EXACT, SPELLED = 64, 6
 
@@ -177,7 +179,9 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     if queries:
         index = saved(postings(docs, {t for q in queries.values() for c in q for t in c}), "trigrams")
         narrowed = saved(candidates(index, queries), "secret-candidates").select(F.col("doc_id").alias("_id"), "rules")
-        docs = docs.join(narrowed, docs.doc_id.eqNullSafe(narrowed._id), "left").select("doc_id", "text", "rules")
+        maybe, others = split_by_keys(docs, F.col("doc_id"), narrowed.select("_id"))
+        found = maybe.join(narrowed, maybe.doc_id.eqNullSafe(narrowed._id), "left").select("doc_id", "text", "rules")
+        docs = found.unionByName(others.withColumn("rules", F.lit(None).cast("array<int>")))
     else:
         docs = docs.withColumn("rules", F.array().cast("array<int>"))
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -209,29 +213,32 @@ def spans_text(spans: Column) -> Column:
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``docs`` (with n_chars) with each secret, or run of overlapping ones, replaced by ``<secret:kind>``; all columns stay."""
-    found = saved(scan(docs, rules).filter(F.size("spans") > 0).select("doc_id", "spans"), "secret-spans")
+    found = saved(scan(docs, rules).select("doc_id", "spans").filter(F.size("spans") > 0), "secret-spans")
     # rows that repeat an id and text have the same spans; others that share an id are told apart by searching again
-    found = found.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("spans")))).alias("_spans")).withColumnRenamed("doc_id", "_id")
-    docs_id = docs["doc_id"]
-    marked = docs.join(found, docs_id.eqNullSafe(found["_id"]), "left").drop("_id")
-    at = [c for c in marked.columns]
-    compiled_rules = rules
+    spans = F.array_sort(F.array_distinct(F.flatten(F.collect_set("spans")))).alias(SPANS)
+    found = found.groupBy("doc_id").agg(spans).withColumnRenamed("doc_id", ID)
+    maybe, clear = split_by_keys(docs, F.col("doc_id"), found.select(ID))
+    marked = maybe.join(found, maybe["doc_id"].eqNullSafe(found[ID]), "left").drop(ID)
+    names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compiled = {r.kind: (re.compile(r.pattern, re.ASCII), r) for r in compiled_rules}
-        t, s, n = at.index("text"), at.index("_spans"), at.index("n_chars")
+        compiled = {r.kind: (re.compile(r.pattern, re.ASCII), r) for r in rules}
+        t, n = names.index("text"), names.index("n_chars") if "n_chars" in names else None
         for b in batches:
-            texts, sizes = b.column(t).to_pylist(), b.column(n).to_pylist()
-            for i, spans in enumerate(b.column(s).to_pylist()):
+            columns = list(b.columns[: len(names)])
+            texts = columns[t].to_pylist()
+            sizes = columns[n].to_pylist() if n is not None else None
+            for i, spans in enumerate(b.column(len(names)).to_pylist()):
                 if spans and texts[i] is not None:
                     texts[i] = cut_out(texts[i], spans, compiled)
-                    sizes[i] = len(texts[i])
-            columns = list(b.columns)
-            columns[t], columns[n] = pa.array(texts, b.schema.field(t).type), pa.array(sizes, b.schema.field(n).type)
-            del columns[s]
-            yield pa.RecordBatch.from_arrays(columns, names=[c for c in b.schema.names if c != "_spans"])
-
-    return marked.mapInArrow(run, docs.schema)
+                    if sizes:
+                        sizes[i] = len(texts[i])
+            columns[t] = pa.array(texts, columns[t].type)
+            if sizes:
+                columns[n] = pa.array(sizes, columns[n].type)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return clear.unionByName(marked.mapInArrow(run, docs.schema))
 
 
 def cut_out(text: str, spans: list[dict], compiled: dict) -> str:

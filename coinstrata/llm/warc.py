@@ -141,6 +141,10 @@ def write_archive(pages: DataFrame, path: str, least_bytes: int = 0, shard_bytes
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done), kinds)], names=["file", "shard", "records", "bytes", "sha256"])
 
     tidy.mapInArrow(write, MANIFEST).write.mode("overwrite").json(f"{path}/manifest")
+    return read_manifest(spark, path)
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(MANIFEST).json(f"{path}/manifest")
 
 
@@ -174,7 +178,7 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """page_id, url, record_type, refers_to, payload_bytes, payload_digest, payload (null for a revisit) of the files that the manifest lists."""
-    manifest = spark.read.schema(MANIFEST).json(f"{path}/manifest")
+    manifest = read_manifest(spark, path)
     files = manifest.select("file").repartition(max(1, manifest.count()), "file")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
