@@ -17,8 +17,8 @@ SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; ``lang`` becomes the language found."""
     model = langid.train(langid.training_rows(docs, F.lit(True)))
-    found = langid.identify(docs, model).filter("not rejected").withColumn("lang", F.col("lang_pred"))
-    return found.select(*docs.columns)
+    found = langid.identify(docs, model, ("__lang", "__score", "__rejected")).filter("not __rejected")
+    return found.withColumn("lang", F.col("__lang")).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
