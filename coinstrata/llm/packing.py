@@ -10,12 +10,11 @@ as often as they occur; an empty table gives an empty result; extra columns of t
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,33 +27,81 @@ SEPARATOR = 0
 #: Pieces (or bins) that one best-fit task holds: five numbers each, so about 20 MB.
 ITEMS_PER_TASK = 100_000
 NEARLY_FULL = 0.99
-#: Distinct words whose ids a worker remembers.
-CACHED_WORDS = 200_000
+#: Distinct words, and parts of words, in one of the two tables of each that a worker holds (about 200 MB together).
+CACHED = 250_000
 FLUSH_IDS = 1_000_000
 
 
-class WordIds(dict):
-    """Token ids by word. The tokenizer's pre-tokens never cross a space, so a text's ids are its words' ids in order."""
+#: What the fast path may not meet: all but Latin text, whose lower case and normal form are plain, and marks that
+#: could be special tokens. Texts of PLAIN bytes alone (but for the capital dotted i) need no closer look.
+UNUSUAL = re.compile(r"[^\t\n\r\x20-\x7e\xa1-\u012f\u0131-\u024f]|<\|")
+PLAIN = bytes([9, 10, 13, *range(0x20, 0x7F), *range(0x80, 0xC0), *range(0xC3, 0xC9)])
+LOOK = (b"<|", "\u0130".encode())
+#: The tokenizer's own split, written for such text: contractions, letters, single digits, other signs.
+PARTS = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_²³¹¼½¾]+|[\d²³¹¼½¾]|(?:[^\w\s]|_)+")
+
+
+def byte_letters() -> dict[int, str]:
+    """The letters that stand for bytes in byte-level vocabularies: printable Latin-1 stands for itself, other bytes
+    for the letters from U+0100 on."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+class Recent(dict):
+    """A bounded table: when it is full it becomes the old one, in which misses are looked up before ``make``."""
+
+    old: dict = {}
+
+    def __missing__(self, key):
+        found = self.old.get(key)
+        if found is None:
+            found = self.make(key)
+        if len(self) >= CACHED:
+            self.old = dict(self)
+            self.clear()
+        self[key] = found
+        return found
+
+
+class PartIds(Recent):
+    """Ids (little-endian, 32 bits each) of one part of a word, merged by the tokenizer's model."""
+
+    def __init__(self, model):
+        self.model, self.letters = model, byte_letters()
+
+    def make(self, part: str) -> bytes:
+        raw = part.encode().decode("latin-1").translate(self.letters)
+        return np.array([t.id for t in self.model.tokenize(raw)], "<u4").tobytes()
+
+
+class WordIds(Recent):
+    """Ids of words by way of bounded tables.
+
+    The tokenizer lower-cases, splits into parts and merges inside each part alone, so the ids of a text of plain
+    words are the ids of their parts in order. Texts that aren't plain go to it whole.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.parts = PartIds(self.tokenizer.model)
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        ids = tuple(self.tokenizer.encode(word, add_special_tokens=False).ids)
-        if len(word) <= 40:
-            self[word] = ids
-        return ids
+    def make(self, word: bytes) -> bytes:
+        return b"".join(map(self.parts.__getitem__, PARTS.findall(word.decode().lower())))
 
-    def text(self, text: str) -> list[int]:
-        if len(self) > CACHED_WORDS:
-            self.clear()
-        return list(chain.from_iterable(map(self.__getitem__, text.replace("\n", " ").split(" "))))
+    def ids(self, raw: bytes) -> bytes:
+        """Ids of a text in UTF-8."""
+        if (raw.translate(None, PLAIN) or any(x in raw for x in LOOK)) and UNUSUAL.search(text := raw.decode()):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return b"".join(map(self.__getitem__, raw.lower().split()))
 
 
-def tokenise(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, separator: int = SEPARATOR) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids, ids_crc32. Only documents over ``capacity`` ids are cut."""
+def tokenise(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, separator: int = SEPARATOR, with_ids: bool = True) -> DataFrame:
+    """One row per piece: doc_id, piece, start, length, ids_crc32 and, if asked for, ids. Only documents over
+    ``capacity`` ids are cut."""
     schema = T.StructType(
         [
             T.StructField("doc_id", docs.schema["doc_id"].dataType),
@@ -62,38 +109,30 @@ def tokenise(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, sep
             T.StructField("start", T.LongType()),
             T.StructField("length", T.LongType()),
             T.StructField("ids_crc32", T.LongType()),
-            T.StructField("ids", T.ArrayType(T.IntegerType())),
         ]
     )
+    if with_ids:
+        schema = schema.add("ids", T.ArrayType(T.IntegerType()))
 
     def batch(keys, rows, key_type) -> pa.RecordBatch:
-        arrays = [r[3] for r in rows]
-        offsets = np.concatenate(([0], np.cumsum([len(a) for a in arrays]))).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays).astype(np.int32)))
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(keys, key_type),
-                pa.array([r[0] for r in rows], pa.int32()),
-                pa.array([r[1] for r in rows], pa.int64()),
-                pa.array([len(a) for a in arrays], pa.int64()),
-                pa.array([r[2] for r in rows], pa.int64()),
-                lists,
-            ],
-            names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"],
-        )
+        piece, start, crc, ids = zip(*rows)
+        sizes = [len(x) for x in ids]
+        columns = [pa.array(keys, key_type), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(sizes, pa.int64()), pa.array(crc, pa.int64())]
+        if with_ids:
+            offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+            columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids).astype(np.int32))))
+        return pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(tokenizer_path)
+        words, last = WordIds(tokenizer_path), np.array([separator], "<u4").tobytes()
         for b in batches:
             keys, rows, held = [], [], 0
-            for key, text in zip(b.column(0).to_pylist(), b.column(1)):
-                ids = words.text(text.as_py() or "")
-                ids.append(separator)
-                ids = np.array(ids, dtype="<u4")
+            for key, raw in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()):
+                ids = np.frombuffer(words.ids(raw or b"") + last, "<u4")
                 for k, start in enumerate(range(0, len(ids), capacity)):
                     part = ids[start : start + capacity]
                     keys.append(key)
-                    rows.append((k, start, zlib.crc32(part.tobytes()), part))
+                    rows.append((k, start, zlib.crc32(part), part))
                 held += len(ids)
                 if held > FLUSH_IDS:
                     yield batch(keys, rows, b.schema.field(0).type)
@@ -135,17 +174,20 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
 
 def _round(items: DataFrame, length: str, level: int, buckets: int, capacity: int) -> DataFrame:
     """Pack each of ``buckets`` hash buckets on its own; adds _bin, _at (offset in it) and _fill (of the bin)."""
-    names = [c for c in items.columns]
+    names = items.columns
     schema = T.StructType([*items.schema.fields, *(T.StructField(c, T.LongType()) for c in ("_bin", "_at", "_fill"))])
 
-    def pack(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        others = [c for c in names if c != length]
-        pdf = pdf[names].sort_values([length, *others], ascending=[False] + [True] * len(others), kind="stable")
-        bins, at, fill = best_fit(pdf[length].to_numpy(), capacity)
-        return pdf.assign(_bin=bins + (level << 56 | int(key[0]) << 24), _at=at, _fill=fill[bins])
+    def pack(key: tuple, rows: pa.Table) -> pa.Table:
+        others = [(c, "ascending") for c in names if c != length]
+        rows = rows.select(names).sort_by([(length, "descending"), *others])
+        bins, at, fill = best_fit(rows[length].to_numpy(), capacity)
+        bins_id = bins + (level << 56 | key[0].as_py() << 24)
+        for name, values in (("_bin", bins_id), ("_at", at), ("_fill", fill[bins])):
+            rows = rows.append_column(name, pa.array(values, pa.int64()))
+        return rows
 
     bucket = F.pmod(F.xxhash64(F.lit(level), *names), F.lit(buckets))
-    return items.withColumn("_bucket", bucket).groupBy("_bucket").applyInPandas(pack, schema)
+    return items.withColumn("_bucket", bucket).groupBy("_bucket").applyInArrow(pack, schema)
 
 
 def pack(
@@ -208,5 +250,5 @@ def sequences(pieces: DataFrame, packed: DataFrame) -> DataFrame:
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, **options) -> DataFrame:
     """Tokenise and pack: one row per piece with its place. The ids are not kept; ``sequences`` joins them again."""
-    pieces = saved(tokenise(docs, tokenizer_path, capacity).drop("ids"), "pieces")
+    pieces = saved(tokenise(docs, tokenizer_path, capacity, with_ids=False), "pieces")
     return pack(pieces, "length", capacity, **options).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
