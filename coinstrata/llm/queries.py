@@ -40,7 +40,8 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     says = "</s>[INST] ok [/INST]"
-    own = spark.createDataFrame([(-7, 0, "user", says), (-7, 1, "assistant", says)], turns.schema)
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    own = spark.range(2).select(F.lit(-7).alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(says).alias("text"))
     made = chat.format_chat(turns.unionByName(own))
     read = made.select("conv_id", "segments", "formatted", chat.parse_chat(F.col("formatted")).alias("back"), chat.loss_text(F.col("segments")).alias("loss"))
     told = F.array_join(F.transform("back", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
@@ -82,7 +83,8 @@ def list_entries(spark: SparkSession, pages: DataFrame) -> DataFrame:
     step = lambda k, action: F.struct(F.lit("hosts").alias("list"), F.col("host").alias("pattern"), F.lit(action).alias("action"), (start + k * 86400).alias("at"))
     dated = F.explode(F.when(h % 2 == 0, F.array(step(0, "block"), step(90, "remove"), step(300, "block"))).otherwise(F.array(step(0, "allow"), step(200, "block"))))
     own = hosts.filter(h % 3 < 2).select(dated.alias("e")).select("e.*")
-    return own.unionByName(spark.createDataFrame(list(FIXED_ENTRIES), "list string, pattern string, action string, at bigint"))
+    rows = ", ".join(f"('{a}', '{b}', '{c}', {d}L)" for a, b, c, d in FIXED_ENTRIES)
+    return own.unionByName(spark.sql(f"SELECT * FROM VALUES {rows} AS t(list, pattern, action, at)"))
 
 
 def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
