@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import parts_for, saved
+from .common import in_small_batches, parts_for, saved
 
 WINDOW, LEAST, NORMAL, MOST = 16, 16, 64, 256
 STRICT, LOOSE = 7, 5
@@ -59,17 +59,17 @@ def boundaries(raw: bytes) -> list[int]:
 
 
 def chunk_set(text: str) -> dict[bytes, int]:
-    """Length by digest (48 bits) of the distinct chunks of a text's UTF-8 bytes."""
+    """Length by digest (40 bits) of the distinct chunks of a text's UTF-8 bytes."""
     raw, start, out = text.encode("utf-8", "surrogatepass"), 0, {}
     for end in boundaries(raw) if raw else ():
-        out[xxhash.xxh3_64_digest(raw[start:end])[:6]] = end - start
+        out[xxhash.xxh3_64_digest(raw[start:end])[:5]] = end - start
         start = end
     return out
 
 
 def to_text(chunks: dict[bytes, int]) -> str:
-    """Ten characters for each chunk: eight of the digest, two of the length, in order of the digests."""
-    return base64.urlsafe_b64encode(b"".join(d + n.to_bytes(2, "big") + b"\0" for d, n in sorted(chunks.items()))).decode()
+    """Eight characters for each chunk, six bytes of digest and length less one, in order of the digests."""
+    return base64.urlsafe_b64encode(b"".join(d + bytes([n - 1]) for d, n in sorted(chunks.items()))).decode()
 
 
 def contained(a: dict[bytes, int], b: dict[bytes, int]) -> float:
@@ -100,7 +100,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             made = [to_text(chunk_set(t.as_py() or "")) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.string())], names=["doc_id", "fingerprint"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fingerprint string")
+    return in_small_batches(docs.select("doc_id", "text")).mapInArrow(run, f"doc_id {kind}, fingerprint string")
 
 
 class _Rows:
@@ -159,7 +159,7 @@ def compare_with_next(docs: DataFrame, rows_per_part: int = ROWS_PER_PART) -> Da
             out.edge("last", before[0], last_tie, before[1])
             yield out.batch()
 
-    made = saved(ranged.mapInArrow(run, f"{_schema(kind)}, edge string, tie bigint, text string"), "fingerprints")
+    made = saved(in_small_batches(ranged).mapInArrow(run, f"{_schema(kind)}, edge string, tie bigint, text string"), "fingerprints")
     edges = made.filter("edge is not null")
     # two rows for each partition, without their texts, in order: first, last, first, last ...
     keys = edges.select("doc_id", "tie", "edge")
