@@ -35,6 +35,18 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows that Spark hands to Python at a time: texts are wide, and the default of 10000 fills an executor's memory.
+ROWS_PER_BATCH = 500
+
+
+def in_small_batches(rows: DataFrame) -> DataFrame:
+    """``rows``, in a session whose Arrow batches hold ROWS_PER_BATCH rows at most."""
+    conf, key = rows.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= ROWS_PER_BATCH:
+        conf.set(key, str(ROWS_PER_BATCH))
+    return rows
+
+
 def parts_for(n_rows: int, rows_per_part: int) -> int:
     return max(1, -(-n_rows // rows_per_part))
 

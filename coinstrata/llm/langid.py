@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import in_small_batches
+
 UNKNOWN = "und"
 BUCKETS, DIMENSIONS, GRAMS = 2**15, 16, (2, 3, 4)
 #: The bound on what training collects: so many documents of each of so many (the most frequent) languages.
@@ -174,7 +176,7 @@ def identify(docs: DataFrame, model: LanguageModel, names: tuple[str, str, str]
                 names=[*b.schema.names, *names],
             )
 
-    return docs.mapInArrow(run, schema)
+    return in_small_batches(docs).mapInArrow(run, schema)
 
 
 def fold(column: str = "doc_id") -> Column:

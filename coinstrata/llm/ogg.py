@@ -21,6 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import in_small_batches
+
 RATE, PACKET, STREAMS, BLOCK = 8000, 4096, 2, 64
 CONTINUED, FIRST, LAST = 1, 2, 4
 MAGIC = b"\x80pcm8\x00"  # head of a stream's identification packet: then rate, stream number, streams, samples
@@ -178,7 +180,7 @@ def encode_texts(docs: DataFrame, block: int = BLOCK) -> DataFrame:
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_bytes bigint, media binary")
+    return in_small_batches(docs.select("doc_id", "text")).mapInArrow(run, f"doc_id {kind}, n_bytes bigint, media binary")
 
 
 def decode_media(media: DataFrame) -> DataFrame:
@@ -204,7 +206,7 @@ def decode_media(media: DataFrame) -> DataFrame:
                     names=[*part.schema.names, "payload", "feature", "error"],
                 )
 
-    return schema.mapInArrow(run, f"{kinds}, payload binary, feature string, error string")
+    return in_small_batches(schema).mapInArrow(run, f"{kinds}, payload binary, feature string, error string")
 
 
 def media_digest(media: bytes) -> str:

@@ -20,15 +20,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import parts_for, saved
+from .common import in_small_batches, parts_for, saved
 
 CAPACITY = 2048
 SEPARATOR = 0
 #: Pieces (or bins) that one best-fit task holds: five numbers each, so about 20 MB.
 ITEMS_PER_TASK = 100_000
 NEARLY_FULL = 0.99
-#: Distinct words, and parts of words, in one of the two tables of each that a worker holds (about 200 MB together).
-CACHED = 250_000
+#: Distinct words, and parts of words, in one of the two tables of each that a worker holds (about 250 MB together).
+CACHED = 400_000
 FLUSH_IDS = 1_000_000
 
 
@@ -140,7 +140,7 @@ def tokenise(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, sep
             if rows:
                 yield batch(keys, rows, b.schema.field(0).type)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return in_small_batches(docs.select("doc_id", "text")).mapInArrow(run, schema)
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, split_by_keys
+from .common import in_small_batches, saved, split_by_keys
 
 #: Names that no column of a caller's has.
 ID, SPANS = "__secret_id", "__secret_spans"
@@ -159,7 +159,7 @@ def postings(docs: DataFrame, trigrams: set[str]) -> DataFrame:
                     owners += [i] * len(here)
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), b.column(0).take(pa.array(owners, pa.int64()))], names=["trigram", "doc_id"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"trigram string, doc_id {kind}")
+    return in_small_batches(docs.select("doc_id", "text")).mapInArrow(run, f"trigram string, doc_id {kind}")
 
 
 def candidates(index: DataFrame, queries: dict[int, frozenset[frozenset[str]]]) -> DataFrame:
@@ -204,7 +204,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
                 out.append([{"kind": rules[i].kind, "start": s, "end": e} for s, i, e in spans])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, span)], names=["doc_id", "text", "spans"])
 
-    return docs.mapInArrow(run, f"doc_id {kind}, text string, spans array<struct<kind: string, start: bigint, end: bigint>>")
+    return in_small_batches(docs).mapInArrow(run, f"doc_id {kind}, text string, spans array<struct<kind: string, start: bigint, end: bigint>>")
 
 
 def spans_text(spans: Column) -> Column:
@@ -238,7 +238,7 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
                 columns[n] = pa.array(sizes, columns[n].type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return clear.unionByName(marked.mapInArrow(run, docs.schema))
+    return clear.unionByName(in_small_batches(marked).mapInArrow(run, docs.schema))
 
 
 def cut_out(text: str, spans: list[dict], compiled: dict) -> str:
