@@ -44,8 +44,8 @@ def grams(text: str) -> np.ndarray:
             for j in range(1, n):
                 h = (h << np.uint32(8)) | raw[j : len(raw) - n + 1 + j]
             h *= np.uint32(MULTIPLIERS[n])
-            out.append((h ^ (h >> np.uint32(15))) % np.uint32(BUCKETS))
-    return np.concatenate(out) if out else np.empty(0, np.uint32)
+            out.append(((h ^ (h >> np.uint32(15))) % np.uint32(BUCKETS)).astype(np.uint16))
+    return np.concatenate(out) if out else np.empty(0, np.uint16)
 
 
 def has_letter(text: str | None) -> bool:
@@ -91,7 +91,7 @@ def train(rows: list[tuple[str, str]], seed: int = 7) -> LanguageModel:
         g = grams(text)
         # the n-grams of one length follow those of another, so segments take every so-manieth gram
         parts = max(1, len(text) // SEGMENT)
-        segments += [(g[j::parts], languages.index(y)) for j in range(parts)]
+        segments += [(g[j::parts].copy(), languages.index(y)) for j in range(parts)]
     embedding = rng.uniform(-1, 1, (BUCKETS, DIMENSIONS)).astype(np.float32) / DIMENSIONS
     weights, bias = np.zeros((DIMENSIONS, k), np.float32), np.zeros(k, np.float32)
     counts = np.bincount([y for _, y in segments], minlength=k)

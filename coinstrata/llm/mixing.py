@@ -15,7 +15,7 @@ empty result; ``mix`` returns exactly the columns of its input.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import saved
@@ -23,7 +23,8 @@ from .common import saved
 DIMENSIONS = ("source", "lang", "topic")
 #: Exponents that temper each marginal: 1 keeps it, 0 makes it uniform.
 TEMPER = {"source": 0.5, "lang": 0.7, "topic": 0.8}
-ROUNDS, TOLERANCE = 40, 1e-9
+#: Rounds at most, the deviation of a factor from 1 at which they end, and rounds in one job.
+ROUNDS, TOLERANCE, SWEEPS = 40, 1e-9, 4
 BUDGET_SHARE, SEED = 0.5, "mix-1"
 
 
@@ -62,26 +63,28 @@ def tempered_target(cells: DataFrame, dimension: str, exponent: float) -> DataFr
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
     """``cells`` with weight: token shares whose marginals are the targets, as near as the cells allow."""
-    shares = {}
+    now = cells.withColumn("weight", F.col("tokens").cast("double"))
     for d, t in targets.items():
-        present = saved(t.join(cells.select(F.col(d).alias("value")).distinct(), "value"), f"target-{d}")
+        present = t.join(cells.select(F.col(d).alias("value")).distinct(), "value")
         total = present.agg(F.sum("target").alias("_all"))
-        shares[d] = saved(present.join(F.broadcast(total)).select(F.col("value").alias(d), (F.col("target") / F.col("_all")).alias("_target")), f"share-{d}")
-    now = saved(cells.withColumn("weight", F.col("tokens").cast("double")), "raked")
-    for _ in range(rounds):
-        step, off = now, F.lit(0.0)
-        for d, share in shares.items():
-            sums = step.groupBy(d).agg(F.sum("weight").alias("_sum"))
-            ratio = F.when(F.col("_sum") > 0, F.coalesce("_target", F.lit(0.0)) / F.col("_sum")).otherwise(0.0)
-            factors = sums.join(share, d, "left").select(d, ratio.alias("_ratio"))
-            step = step.join(factors, d).withColumns({"weight": F.col("weight") * F.col("_ratio"), f"_off_{d}": F.abs(F.col("_ratio") - 1)}).drop("_ratio")
-            off = F.greatest(off, f"_off_{d}")
-        step = saved(step.withColumn("_off", F.when(F.col("weight") > 0, off).otherwise(0.0)).drop(*(f"_off_{d}" for d in shares)), "raked")
-        worst = step.agg(F.max("_off")).first()[0]
-        now = step.drop("_off")
+        share = present.join(F.broadcast(total)).select(F.col("value").alias(d), (F.col("target") / F.col("_all")).alias(f"_target_{d}"))
+        now = saved(now.join(share, d, "left"), "raked")
+    for _ in range(0, rounds, SWEEPS):
+        for _ in range(SWEEPS):
+            off = F.lit(0.0)
+            for d in targets:
+                # cells, not documents, meet here: one for each source, language and topic that occur together
+                total = F.sum("weight").over(Window.partitionBy(d))
+                ratio = F.when(F.col("_sum") > 0, F.coalesce(f"_target_{d}", F.lit(0.0)) / F.col("_sum")).otherwise(0.0)
+                now = now.withColumn("_sum", total).withColumn(f"_off_{d}", F.abs(ratio - 1)).withColumn("weight", F.col("weight") * ratio).drop("_sum")
+                off = F.greatest(off, f"_off_{d}")
+            now = now.withColumn("_off", F.when(F.col("weight") > 0, off).otherwise(0.0)).drop(*(f"_off_{d}" for d in targets))
+        now = saved(now, "raked")
+        worst = now.agg(F.max("_off")).first()[0]
+        now = now.drop("_off")
         if worst is None or worst < tolerance:
             break
-    return now
+    return now.drop(*(f"_target_{d}" for d in targets))
 
 
 def calibrated(raked: DataFrame, budget_share: float = BUDGET_SHARE) -> DataFrame:

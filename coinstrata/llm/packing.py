@@ -27,8 +27,8 @@ SEPARATOR = 0
 #: Pieces (or bins) that one best-fit task holds: five numbers each, so about 20 MB.
 ITEMS_PER_TASK = 100_000
 NEARLY_FULL = 0.99
-#: Distinct words, and parts of words, in one of the two tables of each that a worker holds (about 250 MB together).
-CACHED = 400_000
+#: Distinct words, and parts of words, in one of the two tables of each that a worker holds (about 200 MB together).
+CACHED = 300_000
 FLUSH_IDS = 1_000_000
 
 
