@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path
+from .common import in_small_batches, new_path, saved, split_by_keys
 
 SHARD_BYTES, FILE_BYTES = 32 << 20, 8 << 20
 DATE = "2024-01-01T00:00:00Z"
@@ -87,13 +87,16 @@ def plan_records(pages: DataFrame, least_bytes: int = 0, shard_bytes: int = SHAR
         .filter("_n > 1")
         .select("_digest", "_size", "_first")
     )
+    repeated = saved(repeated, "warc-repeated")
     spread = rows.agg(F.min("page_id").alias("lo"), F.max("page_id").alias("hi"), F.sum(size).alias("bytes")).first()
     shards = max(1, -(-(spread["bytes"] or 0) // shard_bytes))
     lo = spread["lo"] or 0
     width = max(1, -(-((spread["hi"] or 0) - lo + 1) // shards))
     shard = F.coalesce(F.floor((F.col("page_id") - lo) / width), F.lit(0)).cast("long")
     with_digest = rows.withColumns({"_digest": digest, "_size": size})
-    joined = with_digest.join(repeated, ["_digest", "_size"], "left")
+    # only pages that may have a copy meet the table of copies; the others' payloads are not shuffled for it
+    maybe, single = split_by_keys(with_digest, F.col("_digest"), repeated.select("_digest"))
+    joined = maybe.join(repeated, ["_digest", "_size"], "left").unionByName(single.withColumn("_first", F.lit(None).cast("long")))
     refers = F.when(F.col("_first") < F.col("page_id"), F.col("_first"))
     return joined.select(shard.alias("shard"), "page_id", "url", "html", refers.alias("refers_to")), int(shards)
 
@@ -140,7 +143,7 @@ def write_archive(pages: DataFrame, path: str, least_bytes: int = 0, shard_bytes
             kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done), kinds)], names=["file", "shard", "records", "bytes", "sha256"])
 
-    tidy.mapInArrow(write, MANIFEST).write.mode("overwrite").json(f"{path}/manifest")
+    in_small_batches(tidy).mapInArrow(write, MANIFEST).write.mode("overwrite").json(f"{path}/manifest")
     return read_manifest(spark, path)
 
 
