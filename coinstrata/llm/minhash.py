@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, split_by_keys
+from .common import in_small_batches, saved, split_by_keys
 from .graph import components
 
 BANDS, ROWS = 30, 5
@@ -30,11 +30,11 @@ HASHES = BANDS * ROWS
 #: Low bits kept of each minimum; SIGNED minima make LANES 64-bit words.
 BITS, SIGNED = 2, 128
 #: Minima of the long signatures that documents get whose buckets stay in several components, and nodes in a block.
-LONG, BLOCK = 4096, 128
+LONG, BLOCK = 3584, 128
 LANES = BITS * SIGNED // 64
 #: Standard errors by which an estimate may fall short of the threshold before a candidate is given up.
 SLACK = 5.0
-FEWER, CACHED_WORDS, CHUNK = 0x9E3779B97F4A7C15, 200_000, 512
+FEWER, CACHED_WORDS, CHUNK = 0x9E3779B97F4A7C15, 100_000, 512
 MIX_1, MIX_2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
 
@@ -121,7 +121,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
             )
 
     ids = docs.select(F.col("doc_id").cast("long"), "text")
-    return ids.mapInArrow(run, "doc_id long, n_shingles long, set_key string, sig array<long>, bands array<long>")
+    return in_small_batches(ids).mapInArrow(run, "doc_id long, n_shingles long, set_key string, sig array<long>, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -135,7 +135,7 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
                 sets = [shingle_set(t.as_py(), words, hashes).view(np.int64) for t in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "set"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "node long, set array<long>")
+    return in_small_batches(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(run, "node long, set array<long>")
 
 
 def agreeing(a: Column, b: Column) -> Column:
@@ -223,7 +223,7 @@ def long_signatures(docs: DataFrame, words: int) -> DataFrame:
             made = [pack_bits(minima(shingle_set(t.as_py(), words, hashes), a, b), LONG).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["node", "bits"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "node long, bits binary")
+    return in_small_batches(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(run, "node long, bits binary")
 
 
 def _across(docs: DataFrame, live: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
@@ -237,7 +237,8 @@ def _across(docs: DataFrame, live: DataFrame, nodes: DataFrame, words: int, perc
     blocks = live.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block")
     rows = live.select("node", "band", "comp").join(blocks, "band").select("node", "band", "comp", block)
-    rows = rows.join(signed, "node").join(nodes.select("node", "bands"), "node")
+    short = nodes.select("node", F.transform("bands", lambda b: b.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("bands"))
+    rows = rows.join(signed.join(short, "node"), "node")
     lists = saved(rows.groupBy("band", "block").agg(F.collect_list(F.struct("node", "comp", "bits", "bands")).alias("n")), "minhash-blocks")
     x, y = lists.alias("x"), lists.alias("y")
     met = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.block") <= F.col("y.block"))).select("x.band", F.col("x.n").alias("a"), F.col("y.n").alias("b"))
@@ -246,7 +247,7 @@ def _across(docs: DataFrame, live: DataFrame, nodes: DataFrame, words: int, perc
     def columns(n: pa.Scalar) -> tuple[np.ndarray, ...]:
         rows = n.values
         bits = np.frombuffer(b"".join(rows.field("bits").to_pylist()), np.uint64).reshape(len(rows), -1)
-        bands = np.array(rows.field("bands").to_pylist(), np.int64)
+        bands = rows.field("bands").flatten().to_numpy().reshape(len(rows), -1)
         return rows.field("node").to_numpy(), rows.field("comp").to_numpy(), bits, bands
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,7 +261,7 @@ def _across(docs: DataFrame, live: DataFrame, nodes: DataFrame, words: int, perc
                     differ = s[i] ^ t[others]
                     differ = np.bitwise_count((differ | (differ >> one)) & odd).sum(axis=1, dtype=np.int64)
                     for j in others[LONG - differ >= least]:
-                        if h[i][np.flatnonzero(h[i] == k[j])[0]] == band:
+                        if h[i][np.flatnonzero(h[i] == k[j])[0]] == band & 0x7FFFFFFF:
                             lo.append(min(n[i], m[j])), hi.append(max(n[i], m[j]))
             yield pa.RecordBatch.from_arrays([pa.array(lo, pa.int64()), pa.array(hi, pa.int64())], names=["lo", "hi"])
 
