@@ -60,11 +60,8 @@ def _outpoints(spark: SparkSession, star: StarLedger) -> DataFrame:
 
 
 def _lineage(s: StarLedger) -> DataFrame:
-    """Outputs that share their token with an output that their transaction consumes (the star has no genesis rows)."""
-    t = s.tokens
-    everything = t.outputs.unionByName(t.mempool_outputs)
-    none = everything.limit(0)
-    checked = tokens.validate_lineage(t.outputs, t.spends, none, tokens.genesis_outputs(none, t.spends))
+    """Confirmed token outputs by status and reason, tested against the tokens' genesis rows."""
+    checked = tokens.validate_lineage(*s.lineage)
     return checked.groupBy("status", "reason").agg(F.count("*").alias("n"), F.sum("amount").cast("bigint").alias("amount"))
 
 

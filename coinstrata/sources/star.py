@@ -8,6 +8,8 @@
 | spent confirmed, spent unconfirmed, unspent | return flag R, A, N |
 | spending transaction | the customer's next order; unknown for the last one |
 | token, NFT collection | brand and type of the part; the part is the NFT's index |
+| genesis row of a token (lineage only) | its first line without a discount, known if that line is confirmed |
+| authority that a genesis transaction makes (lineage only) | its lines without tax |
 """
 
 from __future__ import annotations
@@ -17,9 +19,11 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import reversed_hex
 from ..operators.ledger import Ledger, first_per
-from ..operators.tokens import TOKEN, TokenLedger
+from ..operators.tokens import TOKEN, TokenLedger, genesis_outputs, genesis_rows
 from ..plans.nft import Listings
+from ..schemas import ZERO_SENSIBLE_ID
 
 SPEND_DAYS = 30
 
@@ -112,6 +116,33 @@ class StarLedger:
     def burns(self) -> DataFrame:
         return self.token_lines(F.round("l_tax", 2) == 0.08)
 
+    @cached_property
+    def lineage(self) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+        """Token outputs and spends whose sensible ids name a genesis outpoint, the genesis rows, and what those made.
+
+        Sensible ids hold hashes, so transaction ids are padded to their 64 digits. A genesis row has the zero id. The
+        genesis row of some tokens is unconfirmed; tokens without any keep an id that can't be read.
+        """
+        padded = lambda c: F.lpad(c, 64, "0")
+        lines = self._with_tokens(self.lines)
+        begins = F.min(F.struct("height", padded("tx_id").alias("tx"), "vout", "l_linestatus"))
+        starts = lines.filter("l_discount = 0").groupBy(*TOKEN).agg(begins.alias("_start"))
+        number = F.lpad(F.hex(F.col("_start.vout").cast("bigint")), 8, "0")
+        starts = starts.withColumn("_id", F.lower(F.concat(reversed_hex(F.col("_start.tx")), reversed_hex(number))))
+
+        def named(rows: DataFrame, tx: str, vout: str) -> DataFrame:
+            """Rows with padded ids and the sensible id of their token, or the zero id for its genesis row."""
+            rows = rows.withColumn(tx, padded(tx)).join(starts, list(TOKEN), "left")
+            first = (F.col("_start.tx") == F.col(tx)) & (F.col("_start.vout") == F.col(vout)) & (F.col("_start.l_linestatus") == F.col("l_linestatus"))
+            return rows.withColumn("sensible_id", F.when(first, ZERO_SENSIBLE_ID).otherwise(F.coalesce("_id", "sensible_id"))).drop("_start", "_id")
+
+        made = named(lines.filter("l_linestatus = 'F'"), "tx_id", "vout")
+        gone = named(self._with_tokens(self._spent("R")), "prev_tx_id", "prev_vout").withColumn("used_tx_id", padded("spend_tx_id"))
+        outputs = made.select(*self.tokens.outputs.columns)
+        spends = gone.select(*self.tokens.spends.columns)
+        with_authorities = made.withColumn("amount", F.when(F.col("l_tax") == 0, F.lit(0)).otherwise(F.col("amount")).cast("decimal(20,0)")).select(*outputs.columns)
+        return outputs, spends, genesis_rows(outputs), genesis_outputs(with_authorities, spends)
+
     def _nft(self, rows: DataFrame) -> DataFrame:
         return self._with_tokens(rows).withColumns(
             {
