@@ -144,16 +144,50 @@ def train(rows: list[tuple[str, str]], seed: int = 7) -> LanguageModel:
     return model
 
 
+def _first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the rows of a task, the first of each (lang, u)."""
+    seen = set()
+    for b in batches:
+        new = []
+        for i, key in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
+            if key not in seen:
+                seen.add(key)
+                new.append(i)
+        if new:
+            yield b.take(pa.array(new))
+
+
 def training_rows(docs: DataFrame, where: Column, per_language: int = DOCS_PER_LANGUAGE) -> list[tuple[str, str]]:
-    """A bounded sample of labelled rows: about ``per_language`` of each language, drawn by a hash of the text."""
-    rows = docs.filter(where & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
+    """A bounded sample of labelled rows: of each language the ``per_language`` distinct texts with the smallest hashes
+    (fewer if MAX_DOCS does not reach so far), or all texts if it has no more. Copies count once."""
+    rows = docs.filter(where & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", F.shiftrightunsigned(F.xxhash64("text"), 1).alias("u"), "text")
     sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
     if not sizes:
         return []
-    u = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / (1 << 30)
-    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, per_language / r["count"]))])
-    drawn = rows.filter(u < share[F.col("lang")]).orderBy(F.xxhash64("text"), "lang", "text").limit(min(MAX_DOCS, 2 * per_language * len(sizes)))
-    return [(r["text"], r["lang"]) for r in drawn.collect()]
+    each = max(1, min(per_language, MAX_DOCS // len(sizes)))
+    rows = rows.filter(F.col("lang").isin([r["lang"] for r in sizes]))
+
+    def under(bounds: dict[str, int]) -> DataFrame:
+        return rows.filter(F.col("u") <= F.create_map(*[F.lit(x) for k, v in bounds.items() for x in (k, F.lit(v).cast("bigint"))])[F.col("lang")])
+
+    # how many hashes of a language have so many bits: the fewest bits that hold enough hold about twice as many at most
+    levels = rows.select("lang", "u").distinct().groupBy("lang", F.length(F.bin("u")).alias("bits")).count().collect()
+    bounds = {}
+    for lang in (r["lang"] for r in sizes):
+        held, of = 0, {r["bits"]: r["count"] for r in levels if r["lang"] == lang}
+        for bits in sorted(of):
+            held += of[bits]
+            bounds[lang] = (1 << bits) - 1
+            if held >= each:
+                break
+    near: dict[str, list[int]] = {lang: [] for lang in bounds}
+    for r in under(bounds).select("lang", "u").distinct().collect():
+        near[r["lang"]].append(r["u"])
+    chosen = under({lang: sorted(us)[:each][-1] for lang, us in near.items()})
+    # many copies of a text come down to one in each task, before any sort or shuffle
+    once = in_small_batches(chosen).mapInArrow(_first_of_each, chosen.schema)
+    drawn = once.groupBy("lang", "u").agg(F.min("text").alias("text")).collect()
+    return [(r["text"], r["lang"]) for r in sorted(drawn, key=lambda r: (r["u"], r["lang"]))]
 
 
 FOUND = ("lang_pred", "score", "rejected")
