@@ -1,12 +1,15 @@
-"""Reading tables, and tables kept in the folder that all machines share."""
+"""Reading tables, tables kept in the folder that all machines share, and small pieces that several operators use."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,9 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where it is unset (tests, one machine) a temporary one is set."""
+    """The folder in ``spark.checkpoint.dir``. Where it is unset a temporary one is set, on one machine only: on a
+    cluster the executors would each write into a folder of their own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='coinstrata-')}"
         spark.conf.set("spark.checkpoint.dir", root)
         spark.sparkContext.setCheckpointDir(root)
@@ -27,24 +33,75 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder with the file system that Spark wrote it with."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+#: Folders of the tables that results may still read, by application.
+_kept: dict[str, list[str]] = {}
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends here and survives lost executors."""
+    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends here and survives lost executors.
+
+    The table stays as long as results may read it; ``forget_saved`` deletes all of them.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
+    _kept.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return _written(df, path)
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def forget_saved(spark: SparkSession) -> None:
+    """Delete what ``saved`` wrote in this application: to be called when all results that read it are used up."""
+    for path in _kept.pop(spark.sparkContext.applicationId, []):
+        delete_path(spark, path)
+
+
+class Scratch:
+    """Tables of one operator that its result doesn't read, deleted together when they have served."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.root, self.count = spark, new_path(spark, name), 0
+
+    def save(self, df: DataFrame, name: str) -> DataFrame:
+        self.count += 1
+        return _written(df, f"{self.root}/{self.count:03d}-{name}")
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *error) -> None:
+        delete_path(self.spark, self.root)
+
+
+def free_name(stem: str, *taken: DataFrame) -> str:
+    """A column name that begins with ``stem`` and that none of the tables has; Spark's names are blind to case."""
+    used = {c.lower() for df in taken for c in df.columns}
+    while stem.lower() in used:
+        stem += "_"
+    return stem
+
+
+#: Rows that a function works on at a time. Spark bounds the Arrow batches it hands over by bytes; texts are wide, and
+#: what Python makes of a batch is a multiple of it.
+ROWS_AT_A_TIME = 500
 
 
-#: Rows that Spark hands to Python at a time: texts are wide, and the default of 10000 fills an executor's memory.
-ROWS_PER_BATCH = 500
+def map_in_slices(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType, size: int = ROWS_AT_A_TIME) -> DataFrame:
+    """``rows.mapInArrow(run, schema)`` with batches of at most ``size`` rows, whatever the session's settings are."""
 
+    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return run(b.slice(i, size) for b in batches for i in range(0, b.num_rows, size))
 
-def in_small_batches(rows: DataFrame) -> DataFrame:
-    """``rows``, in a session whose Arrow batches hold ROWS_PER_BATCH rows at most."""
-    conf, key = rows.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(key)) <= ROWS_PER_BATCH:
-        conf.set(key, str(ROWS_PER_BATCH))
-    return rows
+    return rows.mapInArrow(sliced, schema)
 
 
 def parts_for(n_rows: int, rows_per_part: int) -> int:
@@ -61,12 +118,34 @@ def split_by_keys(rows: DataFrame, column: Column, keys: DataFrame) -> tuple[Dat
     A bitmap of hashes, of fixed size, is broadcast, so that wide rows are not shuffled to meet the few keys. The
     first part still needs an exact join. Null is a key like another.
     """
+    word, bits = free_name("_word", rows), free_name("_bits", rows)
     bit = lambda c: F.pmod(F.xxhash64(c), F.lit(BITMAP))
-    own = keys.select(bit(F.col(keys.columns[0])).alias("__bit"))
-    word, mask = F.floor(F.col("__bit") / 64), F.expr("shiftleft(1L, cast(__bit % 64 as int))")
-    words = own.groupBy(word.alias("__word")).agg(F.bit_or(mask).alias("__bits"))
-    marked = rows.withColumn("__bit", bit(column))
-    marked = marked.withColumns({"__at": F.floor(F.col("__bit") / 64), "__mask": F.expr("shiftleft(1L, cast(__bit % 64 as int))")})
-    joined = marked.join(F.broadcast(words), F.col("__at") == F.col("__word"), "left")
-    inside = F.coalesce(F.col("__bits").bitwiseAND(F.col("__mask")) != 0, F.lit(False))
-    return joined.filter(inside).select(*rows.columns), joined.filter(~inside).select(*rows.columns)
+    place = lambda c: F.floor(bit(c) / 64)
+    mask = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit(c), F.lit(64)).cast("int"))
+    own = F.col(keys.columns[0])
+    words = keys.groupBy(place(own).alias(word)).agg(F.bit_or(mask(own)).alias(bits))
+    joined = rows.join(F.broadcast(words), place(column) == F.col(word), "left")
+    inside = F.coalesce(F.col(bits).bitwiseAND(mask(column)) != 0, F.lit(False))
+    return joined.filter(inside).drop(word, bits), joined.filter(~inside).drop(word, bits)
+
+
+#: Shares that the rows of a hot key are dealt to by ``join_spread``.
+SHARES = 32
+
+
+def if_any(rows: DataFrame) -> DataFrame | None:
+    """``rows``, or None if there are none, so that plans need not provide for them."""
+    return None if rows.isEmpty() else rows
+
+
+def join_spread(rows: DataFrame, few: DataFrame, key: str, hot: DataFrame | None, by: Column, how: str = "inner") -> DataFrame:
+    """``rows.join(few, key, how)``, inner or left, where the rows of the keys in ``hot`` (one column) are dealt by a hash
+    of ``by`` to SHARES tasks. ``few`` has a few rows for each key, which are repeated in each share if the key is hot."""
+    if hot is None:
+        return rows.join(few, key, how)
+    share = free_name("_share", rows, few)
+    warm, rest = split_by_keys(rows, F.col(key), hot)
+    of_warm, of_rest = split_by_keys(few, F.col(key), hot)
+    dealt = warm.withColumn(share, F.pmod(F.xxhash64(by), F.lit(SHARES)).cast("int"))
+    copies = of_warm.withColumn(share, F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
+    return rest.join(of_rest, key, how).unionByName(dealt.join(copies, [key, share], how).drop(share))

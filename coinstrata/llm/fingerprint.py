@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import in_small_batches, parts_for, saved
+from .common import map_in_slices, parts_for, saved
 
 WINDOW, LEAST, NORMAL, MOST = 16, 16, 64, 256
 STRICT, LOOSE = 7, 5
@@ -59,17 +59,39 @@ def boundaries(raw: bytes) -> list[int]:
 
 
 def chunk_set(text: str) -> dict[bytes, int]:
-    """Length by digest (40 bits) of the distinct chunks of a text's UTF-8 bytes."""
+    """Length by digest (64 bits) of the distinct chunks of a text's UTF-8 bytes."""
     raw, start, out = text.encode("utf-8", "surrogatepass"), 0, {}
     for end in boundaries(raw) if raw else ():
-        out[xxhash.xxh3_64_digest(raw[start:end])[:5]] = end - start
+        out[xxhash.xxh3_64_digest(raw[start:end])] = end - start
         start = end
     return out
 
 
+CHUNK_BYTES = 9
+
+
+def packed(chunks: dict[bytes, int]) -> bytes:
+    """Nine bytes for each chunk, its digest and its length less one, in order of the digests."""
+    return b"".join(d + bytes([n - 1]) for d, n in sorted(chunks.items()))
+
+
 def to_text(chunks: dict[bytes, int]) -> str:
-    """Eight characters for each chunk, six bytes of digest and length less one, in order of the digests."""
-    return base64.urlsafe_b64encode(b"".join(d + bytes([n - 1]) for d, n in sorted(chunks.items()))).decode()
+    """``packed`` as base64, twelve characters for each chunk."""
+    return base64.urlsafe_b64encode(packed(chunks)).decode()
+
+
+def difference(own: dict[bytes, int], changed: dict[bytes, int]) -> tuple[bytes, bytes]:
+    """``changed`` as a bit for each chunk of ``own`` and what only it has: most of an edited text's chunks are its own."""
+    bits = np.packbits([changed.get(d) == n for d, n in sorted(own.items())]).tobytes() if own else b""
+    return bits, packed({d: n for d, n in changed.items() if own.get(d) != n})
+
+
+def restored(own: bytes, bits: bytes, extra: bytes) -> tuple[str, str]:
+    """Both fingerprints as text."""
+    cut = lambda raw: [raw[i : i + CHUNK_BYTES] for i in range(0, len(raw), CHUNK_BYTES)]
+    rows = cut(own)
+    same = [r for r, bit in zip(rows, np.unpackbits(np.frombuffer(bits, np.uint8)).tolist()) if bit]
+    return base64.urlsafe_b64encode(own).decode(), base64.urlsafe_b64encode(b"".join(sorted(same + cut(extra)))).decode()
 
 
 def contained(a: dict[bytes, int], b: dict[bytes, int]) -> float:
@@ -84,13 +106,6 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - m] + following[:m]
 
 
-RESULT = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-
-
-def _schema(kind: str) -> str:
-    return f"doc_id {kind}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-
-
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint of every whole text."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -100,38 +115,45 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             made = [to_text(chunk_set(t.as_py() or "")) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.string())], names=["doc_id", "fingerprint"])
 
-    return in_small_batches(docs.select("doc_id", "text")).mapInArrow(run, f"doc_id {kind}, fingerprint string")
+    return map_in_slices(docs.select("doc_id", "text"), run, f"doc_id {kind}, fingerprint string")
+
+
+#: Columns of the stored comparisons, and those that only the edges of a partition have.
+STORED = {"n_chars": pa.int64(), "edited_sha256": pa.string(), "own": pa.binary(), "shared": pa.binary(), "extra": pa.binary(), "near_edited": pa.float64(), "near_next": pa.float64()}
+EDGE = {"edge": pa.string(), "tie": pa.int64(), "text": pa.string()}
+SQL_TYPES = {pa.int64(): "bigint", pa.string(): "string", pa.binary(): "binary", pa.float64(): "double"}
+
+
+def _schema(kind: str, columns: dict[str, pa.DataType]) -> str:
+    return ", ".join([f"doc_id {kind}", *(f"{k} {SQL_TYPES[t]}" for k, t in columns.items())])
 
 
 class _Rows:
     """Results gathered for one Arrow batch."""
 
-    def __init__(self, key_type: pa.DataType, extra: bool):
-        self.key_type, self.extra, self.rows = key_type, extra, []
+    def __init__(self, key_type: pa.DataType, columns: dict[str, pa.DataType]):
+        self.columns, self.rows = {"doc_id": key_type, **columns}, []
 
     def pair(self, key, text: str, own: dict, following: str, other: dict) -> None:
         new = edited(text, following)
         changed = chunk_set(new) if new != text else own
         sha = hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest()
-        self.rows.append((key, len(text), sha, to_text(own), to_text(changed), contained(own, changed), contained(own, other), None, None, None))
+        self.rows.append((key, len(text), sha, packed(own), *difference(own, changed), contained(own, changed), contained(own, other), None, None, None))
 
     def edge(self, kind: str, key, order: int, text: str) -> None:
-        self.rows.append((key, None, None, None, None, None, None, kind, order, text))
+        self.rows.append((key, *[None] * len(STORED), kind, order, text))
 
     def batch(self) -> pa.RecordBatch:
-        kinds = [self.key_type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.string(), pa.int64(), pa.string()]
-        names = [*RESULT, "edge", "tie", "text"]
-        n = len(names) if self.extra else len(RESULT)
-        columns = list(zip(*self.rows)) if self.rows else [()] * len(names)
+        values = list(zip(*self.rows)) if self.rows else [()] * len(self.columns)
         self.rows = []
-        return pa.RecordBatch.from_arrays([pa.array(columns[i], kinds[i]) for i in range(n)], names=names[:n])
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, self.columns.values())], names=list(self.columns))
 
 
 def compare_with_next(docs: DataFrame, rows_per_part: int = ROWS_PER_PART) -> DataFrame:
     """Fingerprints of each text and of its edited text (see ``edited``) and their likeness, and that to the next one's.
 
     The texts are range-partitioned once, so neighbours meet in one task; only the first and last document of each
-    partition are joined afterwards.
+    partition are joined afterwards. What is stored between has an edited text's fingerprint as its difference only.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -144,7 +166,7 @@ def compare_with_next(docs: DataFrame, rows_per_part: int = ROWS_PER_PART) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before, out = None, None
         for b in batches:
-            out = out or _Rows(b.schema.field(0).type, True)
+            out = out or _Rows(b.schema.field(0).type, {**STORED, **EDGE})
             for key, t, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 text = text.as_py()
                 now = (key, text, chunk_set(text))
@@ -159,7 +181,7 @@ def compare_with_next(docs: DataFrame, rows_per_part: int = ROWS_PER_PART) -> Da
             out.edge("last", before[0], last_tie, before[1])
             yield out.batch()
 
-    made = saved(in_small_batches(ranged).mapInArrow(run, f"{_schema(kind)}, edge string, tie bigint, text string"), "fingerprints")
+    made = saved(map_in_slices(ranged, run, _schema(kind, {**STORED, **EDGE})), "fingerprints")
     edges = made.filter("edge is not null")
     # two rows for each partition, without their texts, in order: first, last, first, last ...
     keys = edges.select("doc_id", "tie", "edge")
@@ -175,9 +197,19 @@ def compare_with_next(docs: DataFrame, rows_per_part: int = ROWS_PER_PART) -> Da
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = _Rows(b.schema.field(0).type, False)
+            out = _Rows(b.schema.field(0).type, {**STORED, **EDGE})
             for key, text, following in zip(*(c.to_pylist() for c in b.columns)):
                 out.pair(key, text, chunk_set(text), following, chunk_set(following))
-            yield out.batch()
+            yield out.batch().select(["doc_id", *STORED])
+
+    whole = made.filter("edge is null").select("doc_id", *STORED).unionByName(both.mapInArrow(finish, _schema(kind, STORED)))
+    shown = {"n_chars": pa.int64(), "edited_sha256": pa.string(), "fingerprint": pa.string(), "edited_fingerprint": pa.string(), "near_edited": pa.float64(), "near_next": pa.float64()}
+
+    def spell_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [restored(*x) for x in zip(*(b.column(k).to_pylist() for k in ("own", "shared", "extra")))]
+            own, changed = zip(*texts) if texts else ((), ())
+            columns = {"fingerprint": pa.array(own, pa.string()), "edited_fingerprint": pa.array(changed, pa.string())}
+            yield pa.RecordBatch.from_arrays([columns[k] if k in columns else b.column(k) for k in ("doc_id", *shown)], names=["doc_id", *shown])
 
-    return made.filter("edge is null").select(*RESULT).unionByName(both.mapInArrow(finish, _schema(kind)))
+    return map_in_slices(whole, spell_out, _schema(kind, shown))

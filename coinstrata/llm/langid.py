@@ -7,7 +7,9 @@ the same rows. Scoring needs no embeddings: embedding times weights is one table
 BUCKETS x MAX_LANGUAGES numbers, which is what the workers get.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0 and rejected; so is every text if no
-labelled row was learned from; ties between languages go to the first in alphabetical order; whole texts are scored.
+labelled row was learned from; ties between languages go to the first in alphabetical order; texts are scored whole
+however long; repeated rows get the same result each; an empty table gives an empty result; the columns added take the
+place of columns of the same names, which the caller chooses.
 """
 
 from __future__ import annotations
@@ -21,12 +23,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import in_small_batches
+from .common import map_in_slices
 
 UNKNOWN = "und"
 BUCKETS, DIMENSIONS, GRAMS = 2**15, 16, (2, 3, 4)
-#: The bound on what training collects: so many documents of each of so many (the most frequent) languages.
-DOCS_PER_LANGUAGE, MAX_LANGUAGES, MAX_DOCS = 300, 200, 20_000
+#: The bounds on what training collects: documents of each language, languages, documents, bytes of their texts.
+DOCS_PER_LANGUAGE, MAX_LANGUAGES, MAX_DOCS, MAX_BYTES = 300, 500, 20_000, 64 << 20
 #: Training runs over segments of this many bytes of the whole texts, at most MAX_SEGMENTS of them in a pass.
 SEGMENT, MAX_SEGMENTS, PASSES, RATE = 256, 20_000, 2, 0.5
 #: Share of clean documents that may fall under the rejection threshold, and how far under their scores it is put.
@@ -144,49 +146,50 @@ def train(rows: list[tuple[str, str]], seed: int = 7) -> LanguageModel:
     return model
 
 
-def _first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of the rows of a task, the first of each (lang, u)."""
-    seen = set()
-    for b in batches:
-        new = []
-        for i, key in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
-            if key not in seen:
-                seen.add(key)
-                new.append(i)
-        if new:
-            yield b.take(pa.array(new))
-
-
-def training_rows(docs: DataFrame, where: Column, per_language: int = DOCS_PER_LANGUAGE) -> list[tuple[str, str]]:
+def training_rows(docs: DataFrame, where: Column, per_language: int = DOCS_PER_LANGUAGE, most_languages: int = MAX_LANGUAGES, most_bytes: int = MAX_BYTES) -> list[tuple[str, str]]:
     """A bounded sample of labelled rows: of each language the ``per_language`` distinct texts with the smallest hashes
-    (fewer if MAX_DOCS does not reach so far), or all texts if it has no more. Copies count once."""
-    rows = docs.filter(where & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", F.shiftrightunsigned(F.xxhash64("text"), 1).alias("u"), "text")
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    if not sizes:
-        return []
-    each = max(1, min(per_language, MAX_DOCS // len(sizes)))
-    rows = rows.filter(F.col("lang").isin([r["lang"] for r in sizes]))
-
-    def under(bounds: dict[str, int]) -> DataFrame:
-        return rows.filter(F.col("u") <= F.create_map(*[F.lit(x) for k, v in bounds.items() for x in (k, F.lit(v).cast("bigint"))])[F.col("lang")])
-
+    (fewer if MAX_DOCS does not reach so far), or all texts if it has no more. Copies count once.
+
+    Each language has an equal part of ``most_bytes``: of the texts so found, those are taken in order of their hashes
+    that fit in what is left of it, and the shortest if none does, so no language is lost. More than ``most_languages``
+    labels are an error, as a model that leaves some out would never find them.
+    """
+    labelled = docs.filter(where & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    rows = labelled.select(F.col("lang").cast("string").alias("lang"), F.shiftrightunsigned(F.xxhash64("text"), 1).alias("u"), "text")
     # how many hashes of a language have so many bits: the fewest bits that hold enough hold about twice as many at most
-    levels = rows.select("lang", "u").distinct().groupBy("lang", F.length(F.bin("u")).alias("bits")).count().collect()
-    bounds = {}
-    for lang in (r["lang"] for r in sizes):
+    levels = rows.select("lang", "u").distinct().groupBy("lang", F.length(F.bin("u")).alias("bits")).count()
+    levels = levels.limit(64 * (most_languages + 1)).collect()
+    languages = sorted({r["lang"] for r in levels})
+    if len(languages) > most_languages:
+        raise ValueError(f"more than {most_languages} languages are labelled; raise most_languages, which bounds what training collects")
+    if not languages:
+        return []
+    each = max(1, min(per_language, MAX_DOCS // len(languages)))
+    spark = docs.sparkSession
+    bounds = []
+    for lang in languages:
         held, of = 0, {r["bits"]: r["count"] for r in levels if r["lang"] == lang}
         for bits in sorted(of):
             held += of[bits]
-            bounds[lang] = (1 << bits) - 1
             if held >= each:
                 break
-    near: dict[str, list[int]] = {lang: [] for lang in bounds}
-    for r in under(bounds).select("lang", "u").distinct().collect():
-        near[r["lang"]].append(r["u"])
-    chosen = under({lang: sorted(us)[:each][-1] for lang, us in near.items()})
-    # many copies of a text come down to one in each task, before any sort or shuffle
-    once = in_small_batches(chosen).mapInArrow(_first_of_each, chosen.schema)
-    drawn = once.groupBy("lang", "u").agg(F.min("text").alias("text")).collect()
+        bounds.append((lang, (1 << bits) - 1))
+    # one row for each language
+    under = F.broadcast(spark.createDataFrame(bounds, "lang string, bound long"))
+    near = rows.join(under, "lang").filter("u <= bound")
+    sizes = near.groupBy("lang", "u").agg(F.min(F.octet_length("text")).alias("size")).collect()
+    chosen = []
+    for lang in languages:
+        first = sorted((r["u"], r["size"]) for r in sizes if r["lang"] == lang)[:each]
+        left, own = most_bytes // len(languages), []
+        for u, size in first:
+            if size <= left:
+                own.append((lang, u))
+                left -= size
+        chosen += own or [(lang, min(first, key=lambda x: (x[1], x[0]))[0])]
+    # at most MAX_DOCS rows; many copies of a text come down to one before the shuffle
+    wanted = F.broadcast(spark.createDataFrame(chosen, "lang string, u long"))
+    drawn = rows.join(wanted, ["lang", "u"], "left_semi").groupBy("lang", "u").agg(F.min("text").alias("text")).collect()
     return [(r["text"], r["lang"]) for r in sorted(drawn, key=lambda r: (r["u"], r["lang"]))]
 
 
@@ -210,7 +213,7 @@ def identify(docs: DataFrame, model: LanguageModel, names: tuple[str, str, str]
                 names=[*b.schema.names, *names],
             )
 
-    return in_small_batches(docs).mapInArrow(run, schema)
+    return map_in_slices(docs, run, schema)
 
 
 def fold(column: str = "doc_id") -> Column:

@@ -5,16 +5,19 @@ propose candidates; the packed low bits of the minima estimate the similarity, c
 of bits, by counting bits; links are confirmed on the full sets. Equal sets are one node from the start, and a
 bucket of n nodes is first compared with one hub, then with others, rather than with itself, so that large groups of
 copies cost n comparisons; what is left in different components of one bucket is compared in full, by long signatures
-in blocks, so no link is given up to save work.
+in blocks that are dealt pair by pair, so no link is given up to save work and no bucket is one task's.
 
 Defined results: words are runs of bytes other than ASCII white space, with A-Z lower-cased; a document of fewer
 words than a shingle is one shingle; a null text or one without words has the empty set and no links; rows that
-repeat a doc_id are one document; rows with a null doc_id are kept and never linked; empty tables give empty results.
+repeat a doc_id are one document, which has the links of all its texts, in whatever order the rows come; rows with a
+null doc_id are kept and never linked; texts are taken whole however long; empty tables give empty results; other
+columns may have any names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -22,16 +25,21 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_small_batches, saved, split_by_keys
+from .common import Scratch, free_name, if_any, join_spread, map_in_slices, saved, split_by_keys
 from .graph import components
 
 BANDS, ROWS = 30, 5
 HASHES = BANDS * ROWS
 #: Low bits kept of each minimum; SIGNED minima make LANES 64-bit words.
 BITS, SIGNED = 2, 128
-#: Minima of the long signatures that documents get whose buckets stay in several components, and nodes in a block.
-LONG, BLOCK = 3584, 128
 LANES = BITS * SIGNED // 64
+#: Documents whose buckets stay in several components get long signatures: as many minima as make the standard error of
+#: an estimate ERROR at a similarity of 0.8, where values agree by a chance of AGREE; whole 64-bit words.
+ERROR = 0.008
+AGREE = 2.0**-BITS + (1 - 2.0**-BITS) * 0.8
+LONG = 64 // BITS * ceil(AGREE * (1 - AGREE) / ((1 - 2.0**-BITS) * ERROR) ** 2 * BITS / 64)
+#: Nodes in a block of a bucket (about 1 kB each), and rows from which a key counts as hot and is dealt to many tasks.
+BLOCK, HOT = 2048, 1000
 #: Standard errors by which an estimate may fall short of the threshold before a candidate is given up.
 SLACK = 5.0
 FEWER, CACHED_WORDS, CHUNK = 0x9E3779B97F4A7C15, 100_000, 512
@@ -94,17 +102,17 @@ def pack_bits(low: np.ndarray, n: int = SIGNED) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles, set_key (of the whole set), sig (packed low bits), bands (a hash for each band)."""
+    """doc_id, text_hash, n_shingles, set_key (of the whole set), sig (packed low bits), bands (a hash for each band)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, (a, b) = WordHashes(), _functions()
         salt = np.arange(BANDS, dtype=np.uint64) * MIX_1
         for batch in batches:
             n, keys, sigs, bands = [], [], [], []
-            for text in batch.column(1):
+            for text in batch.column(2):
                 s = shingle_set(text.as_py(), words, hashes)
                 n.append(len(s))
-                keys.append(xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None)
+                keys.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 if not len(s):
                     sigs.append([]), bands.append([])
                     continue
@@ -116,26 +124,24 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
                 bands.append(h.view(np.int64))
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.string()), pa.array(sigs, longs), pa.array(bands, longs)],
-                names=["doc_id", "n_shingles", "set_key", "sig", "bands"],
+                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, longs), pa.array(bands, longs)],
+                names=["doc_id", "text_hash", "n_shingles", "set_key", "sig", "bands"],
             )
 
-    ids = docs.select(F.col("doc_id").cast("long"), "text")
-    return in_small_batches(ids).mapInArrow(run, "doc_id long, n_shingles long, set_key string, sig array<long>, bands array<long>")
+    ids = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text"), "text")
+    return map_in_slices(ids, run, "doc_id long, text_hash long, n_shingles long, set_key binary, sig array<long>, bands array<long>")
 
 
-def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
-    """node, set: the whole shingle set of each document."""
+def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
+    """node, set: the whole shingle set of each row of ``texts`` (node, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            for i in range(0, batch.num_rows, 200):
-                part = batch.slice(i, 200)
-                sets = [shingle_set(t.as_py(), words, hashes).view(np.int64) for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "set"])
+            sets = [shingle_set(t.as_py(), words, hashes).view(np.int64) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "set"])
 
-    return in_small_batches(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(run, "node long, set array<long>")
+    return map_in_slices(texts, run, "node long, set array<long>", 200)
 
 
 def agreeing(a: Column, b: Column) -> Column:
@@ -161,60 +167,96 @@ def estimate(a: Column, b: Column) -> Column:
     return F.greatest(F.lit(0.0), (agreeing(a, b) / SIGNED - c) / (1 - c))
 
 
+def _once(docs: DataFrame, repeated: DataFrame) -> DataFrame:
+    """doc_id, text_hash, text, where rows that repeat an id and a text are one."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    if repeated.isEmpty():
+        return texts
+    maybe, others = split_by_keys(texts, F.col("doc_id"), repeated.select("doc_id"))
+    return others.unionByName(maybe.dropDuplicates(["doc_id", "text_hash"]))
+
+
+def _same_id(known: DataFrame, groups: DataFrame, several: DataFrame) -> DataFrame:
+    """a, b: nodes that one doc_id with several texts belongs to."""
+    hot = if_any(several.filter(F.col("n") > HOT).select("doc_id"))
+    rows = join_spread(known.select("doc_id", "set_key"), several.select("doc_id"), "doc_id", hot, F.col("set_key"))
+    named = rows.join(groups.select("set_key", "node"), "set_key").select("doc_id", "node").distinct()
+    first = named.groupBy("doc_id").agg(F.min("node").alias("a"))
+    return join_spread(named, first, "doc_id", hot, F.col("node")).filter("a <> node").select("a", F.col("node").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, n_copies (documents with the same set)."""
-    sigs = saved(signatures(docs, words), "minhash-sigs")
-    known = sigs.filter("n_shingles > 0 and doc_id is not null")
-    classes = known.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.count("*").alias("n_copies"))
-    members = saved(
-        sigs.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left").select("doc_id", "n_shingles", "node", "n_copies"),
-        "minhash-members",
-    )
-    heads = members.select("node").filter("node = doc_id").distinct()
-    nodes = saved(
-        known.join(heads, known.doc_id == heads.node, "left_semi").select(F.col("doc_id").alias("node"), "sig", "bands").dropDuplicates(["node"]),
-        "minhash-nodes",
-    )
-    sig = nodes.select("node", "sig")
-    bands = nodes.select("node", F.explode("bands").alias("band"))
+    """doc_id, n_shingles, component_id, kept, n_copies (rows with the same set)."""
+    return _classified(docs, words, percent)[0]
+
+
+def _classified(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """What ``near_duplicates`` gives, and the ids that rows repeat (doc_id, n)."""
+    with Scratch(docs.sparkSession, "minhash") as kept:
+        sigs = kept.save(signatures(docs, words), "sigs")
+        known = sigs.filter("n_shingles > 0 and doc_id is not null")
+        # equal sets are one node, numbered as it is written; its text is that of the row with the smallest id
+        head = F.min(F.struct("doc_id", "text_hash", "sig", "bands")).alias("h")
+        grouped = known.groupBy("set_key").agg(head, F.count("*").alias("n_copies")).select(F.monotonically_increasing_id().alias("node"), "set_key", "h.*", "n_copies")
+        groups = kept.save(grouped, "groups")
+        by_id = sigs.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), *(f(F.xxhash64("set_key")).alias(k) for k, f in (("x", F.min), ("y", F.max))))
+        repeated = saved(by_id.filter("n > 1"), "minhash-repeated")
+        several = if_any(repeated.filter("x < y"))
+        label = _linked(_once(docs, repeated), groups, several and _same_id(known, groups, several), words, percent, kept)
+
+        # the smallest id of each component, then of each set
+        least = label.join(groups.select("node", "doc_id"), "node").groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n"))
+        least = kept.save(least, "least")
+        named = join_spread(label, least.drop("n"), "comp", if_any(least.filter(F.col("n") > HOT).select("comp")), F.col("node")).select("node", "component_id")
+        sets = groups.select("node", "set_key", "doc_id", "n_copies").join(named, "node", "left")
+        sets = kept.save(sets.select("set_key", F.coalesce("component_id", "doc_id").alias("component_id"), "n_copies"), "classes")
+        copied = if_any(sets.filter(F.col("n_copies") > HOT).select("set_key"))
+        full = join_spread(known.select("doc_id", "n_shingles", "set_key"), sets, "set_key", copied, F.col("doc_id")).drop("set_key")
+        alone = sigs.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("n_copies"))
+        out = full.unionByName(alone).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "n_copies")
+        return saved(out, "near-duplicates"), repeated
+
+
+def _linked(texts: DataFrame, groups: DataFrame, same_id: DataFrame | None, words: int, percent: int, kept: Scratch) -> DataFrame:
+    """node, comp of all nodes that have a link."""
+    sig = groups.select("node", "sig")
+    bands = groups.select("node", F.explode("bands").alias("band"))
+    sets = lambda ids: _sets_of(texts, groups, ids, words)
 
     # buckets that hold more than one node, with the smallest as hub
-    hubs = bands.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1").select("band", "hub")
-    shared = saved(bands.join(hubs, "band").select("node", "band", "hub"), "minhash-shared")
-    found = _confirm(docs, shared.select(F.col("hub").alias("lo"), F.col("node").alias("hi")).filter("lo < hi").distinct(), sig, words, percent)
-    label = components(found.select(F.col("lo").alias("a"), F.col("hi").alias("b")))
+    hubs = kept.save(bands.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1"), "hubs")
+    hot = if_any(hubs.filter(F.col("n") > HOT).select("band"))
+    shared = kept.save(join_spread(bands, hubs.select("band", "hub"), "band", hot, F.col("node")), "shared")
+    pairs = shared.select(F.col("hub").alias("lo"), F.col("node").alias("hi")).filter("lo < hi").distinct()
+    found = _confirm(kept.save(pairs, "pairs"), sig, sets, percent, kept)
+    edges = found.select(F.col("lo").alias("a"), F.col("hi").alias("b"))
+    label = components(edges if same_id is None else edges.unionByName(same_id))
 
     for turn in (1, 2, 3):
-        live = saved(_unsettled(shared, label), f"minhash-live-{turn}")
+        live = kept.save(_unsettled(shared, label, hot), f"live-{turn}")
         if live.isEmpty():
             break
         if turn < 3:
             # another hub, drawn anew in each bucket, for the nodes of its other components
             order = F.xxhash64("node", "band", F.lit(turn))
             drawn = live.groupBy("band").agg(F.min_by(F.struct("node", "comp"), order).alias("h"))
-            pairs = live.join(drawn, "band").filter("comp <> h.comp").select(F.least("node", "h.node").alias("lo"), F.greatest("node", "h.node").alias("hi")).distinct()
-            more = _confirm(docs, pairs, sig, words, percent)
+            met = join_spread(live, drawn, "band", hot, F.col("node")).filter("comp <> h.comp")
+            pairs = met.select(F.col("h.node").alias("lo"), F.col("node").alias("hi"), F.col("h.comp").alias("a"), F.col("comp").alias("b")).distinct()
+            more = _confirm(kept.save(pairs, "pairs"), sig, sets, percent, kept)
         else:
-            more = _confirm(docs, _across(docs, live, nodes, words, percent), None, words, percent)
-        joined = more.select(F.col("lo").alias("node"), "hi").join(label, "node", "left").select(F.coalesce("comp", "node").alias("a"), F.col("hi").alias("node"))
-        joined = joined.join(label, "node", "left").select("a", F.coalesce("comp", "node").alias("b")).filter("a <> b").distinct()
-        merged = components(joined)
-        if merged.isEmpty():
+            more = _confirm(kept.save(_across(texts, groups, live, words, percent, kept), "pairs"), None, sets, percent, kept)
+        merged = if_any(components(more.select("a", "b")))
+        if merged is None:
             continue
         step = merged.select(F.col("node").alias("comp"), F.col("comp").alias("to"))
-        label = label.join(step, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
+        large = if_any(label.groupBy("comp").count().filter(F.col("count") > HOT).select("comp"))
+        moved = join_spread(label, step, "comp", large, F.col("node"), "left").select("node", F.coalesce("to", "comp").alias("comp"))
         # nodes that had no link before
-        label = saved(label.unionByName(merged.join(label, "node", "left_anti")), f"minhash-label-{turn}")
-    out = members.join(label, "node", "left").select(
-        "doc_id",
-        "n_shingles",
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "node", "doc_id")).alias("component_id"),
-        F.coalesce("n_copies", F.lit(1)).alias("n_copies"),
-    )
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "n_copies")
+        label = kept.save(moved.unionByName(merged.join(label, "node", "left_anti")), f"label-{turn}")
+    return label
 
 
-def long_signatures(docs: DataFrame, words: int) -> DataFrame:
+def long_signatures(texts: DataFrame, words: int) -> DataFrame:
     """node, bits: the low BITS bits of LONG minima, packed, for the few documents that need close estimates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,25 +265,31 @@ def long_signatures(docs: DataFrame, words: int) -> DataFrame:
             made = [pack_bits(minima(shingle_set(t.as_py(), words, hashes), a, b), LONG).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["node", "bits"])
 
-    return in_small_batches(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(run, "node long, bits binary")
+    return map_in_slices(texts, run, "node long, bits binary")
 
 
-def _across(docs: DataFrame, live: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
-    """lo, hi: the pairs of nodes that share a bucket but no component and whose long signatures are close enough.
+def _across(texts: DataFrame, groups: DataFrame, live: DataFrame, words: int, percent: int, kept: Scratch) -> DataFrame:
+    """lo, hi, a, b: the pairs of nodes that share a bucket but no component (a, b) and whose long signatures are close.
 
-    Buckets are cut into blocks of about BLOCK nodes, and blocks of one bucket are joined: a task compares two blocks
-    of signatures at a time and gives only the pairs that pass, each in the first bucket that its nodes share.
+    Buckets are cut into blocks of about BLOCK nodes. Each pair of blocks of a bucket is a key of its own, so that a
+    large bucket is spread over all tasks; a task compares two blocks at a time and gives only the pairs that pass,
+    each in the first bucket that its nodes share.
     """
     ids = live.select("node").distinct()
-    signed = saved(long_signatures(_texts_of(docs, ids), words).dropDuplicates(["node"]), "minhash-long")
-    blocks = live.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    block = F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block")
-    rows = live.select("node", "band", "comp").join(blocks, "band").select("node", "band", "comp", block)
-    short = nodes.select("node", F.transform("bands", lambda b: b.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("bands"))
-    rows = rows.join(signed.join(short, "node"), "node")
-    lists = saved(rows.groupBy("band", "block").agg(F.collect_list(F.struct("node", "comp", "bits", "bands")).alias("n")), "minhash-blocks")
-    x, y = lists.alias("x"), lists.alias("y")
-    met = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.block") <= F.col("y.block"))).select("x.band", F.col("x.n").alias("a"), F.col("y.n").alias("b"))
+    named = _texts_of(texts, groups.select("node", "doc_id", "text_hash").join(ids, "node", "left_semi"))
+    signed = kept.save(long_signatures(named, words), "long")
+    blocks = live.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    short = groups.select("node", F.transform("bands", lambda b: b.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("bands"))
+    rows = live.select("node", "band", "comp").join(signed.join(short, "node"), "node")
+    # buckets without a row in ``many`` are one block
+    many = blocks.filter("blocks > 1")
+    rows = join_spread(rows, many, "band", if_any(many.select("band")), F.col("node"), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    lists = rows.groupBy("band", "block", "blocks").agg(F.collect_list(F.struct("node", "comp", "bits", "bands")).alias("n"))
+    lists = kept.save(lists, "blocks")
+    left = lists.select("band", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), F.col("n").alias("x"))
+    right = lists.select("band", F.explode(F.sequence(F.lit(0), "block")).alias("i"), F.col("block").alias("j"), F.col("n").alias("y"))
+    met = left.join(right, ["band", "i", "j"]).select("band", "x", "y")
     least = least_agreement(percent / 100, LONG)
 
     def columns(n: pa.Scalar) -> tuple[np.ndarray, ...]:
@@ -253,7 +301,7 @@ def _across(docs: DataFrame, live: DataFrame, nodes: DataFrame, words: int, perc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         odd, one = np.uint64(0x5555555555555555), np.uint64(1)
         for batch in batches:
-            lo, hi = [], []
+            found = []
             for band, left, right in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
                 (n, c, s, h), (m, d, t, k) = columns(left), columns(right)
                 for i in range(len(n)):
@@ -262,43 +310,68 @@ def _across(docs: DataFrame, live: DataFrame, nodes: DataFrame, words: int, perc
                     differ = np.bitwise_count((differ | (differ >> one)) & odd).sum(axis=1, dtype=np.int64)
                     for j in others[LONG - differ >= least]:
                         if h[i][np.flatnonzero(h[i] == k[j])[0]] == band & 0x7FFFFFFF:
-                            lo.append(min(n[i], m[j])), hi.append(max(n[i], m[j]))
-            yield pa.RecordBatch.from_arrays([pa.array(lo, pa.int64()), pa.array(hi, pa.int64())], names=["lo", "hi"])
+                            found.append((n[i], m[j], c[i], d[j]) if n[i] < m[j] else (m[j], n[i], d[j], c[i]))
+            yield pa.RecordBatch.from_arrays([pa.array([x[f] for x in found], pa.int64()) for f in range(4)], names=["lo", "hi", "a", "b"])
 
-    return met.mapInArrow(run, "lo long, hi long").distinct()
+    return map_in_slices(met, run, "lo long, hi long, a long, b long", 1).distinct()
 
 
-def _unsettled(shared: DataFrame, label: DataFrame) -> DataFrame:
-    """Rows of buckets whose nodes are in more than one component: node, band, hub, comp."""
-    now = shared.select("node", "band", "hub").join(label, "node", "left").select("node", "band", "hub", F.coalesce("comp", "node").alias("comp"))
+def _unsettled(shared: DataFrame, label: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """Rows of buckets whose nodes are in more than one component: node, band, comp."""
+    now = shared.select("node", "band").join(label, "node", "left").select("node", "band", F.coalesce("comp", "node").alias("comp"))
     split = now.groupBy("band").agg(F.min("comp").alias("l"), F.max("comp").alias("h")).filter("l < h").select("band")
-    return now.join(split, "band", "left_semi")
+    return join_spread(now, split, "band", hot, F.col("node"))
+
+
+def _texts_of(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, text of ``nodes`` (node, doc_id, text_hash): the row of each that has its id and text."""
+    maybe, _ = split_by_keys(texts, F.col("doc_id"), nodes.select("doc_id"))
+    return maybe.join(nodes, ["doc_id", "text_hash"]).select("node", "text")
 
 
-def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc_id, text of the documents in ``ids`` (node)."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    maybe, _ = split_by_keys(texts, F.col("doc_id"), ids)
-    return maybe.join(ids, maybe.doc_id == ids.node, "left_semi")
+def _sets_of(texts: DataFrame, groups: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """node, set of the nodes in ``ids``."""
+    return shingle_sets(_texts_of(texts, groups.select("node", "doc_id", "text_hash").join(ids, "node", "left_semi")), words)
 
 
-def _confirm(docs: DataFrame, pairs: DataFrame, sig: DataFrame | None, words: int, percent: int) -> DataFrame:
-    """Of candidate pairs lo, hi those whose whole sets reach the threshold; the estimate rules out most others."""
+def _confirm(pairs: DataFrame, sig: DataFrame | None, sets: Callable[[DataFrame], DataFrame], percent: int, kept: Scratch) -> DataFrame:
+    """Of candidate pairs (lo, hi and other columns) those whose whole sets reach the threshold; the estimate rules out
+    most others. Pairs of a node that is in many are dealt to several tasks, each with a copy of its set."""
+    extra = [c for c in pairs.columns if c not in ("lo", "hi")]
+
+    busy = pairs.select(F.explode(F.array("lo", "hi")).alias("node")).groupBy("node").count().filter(F.col("count") > HOT).select("node")
+    busy = if_any(busy)
+
+    def attach(rows: DataFrame, few: DataFrame, key: str, name: str, by: str) -> DataFrame:
+        return join_spread(rows, few.toDF(key, name), key, busy, F.col(by))
+
     close = pairs
     if sig is not None:
-        lo, hi = sig.select(F.col("node").alias("lo"), F.col("sig").alias("s")), sig.select(F.col("node").alias("hi"), F.col("sig").alias("t"))
-        close = close.join(lo, "lo").join(hi, "hi").filter(agreeing(F.col("s"), F.col("t")) >= least_agreement(percent / 100))
-    close = saved(close.select("lo", "hi"), "minhash-close")
+        both = attach(attach(close, sig, "lo", "s", "hi"), sig, "hi", "t", "lo")
+        close = both.filter(agreeing(F.col("s"), F.col("t")) >= least_agreement(percent / 100))
+    close = kept.save(close.select("lo", "hi", *extra), "close")
     needed = close.select(F.col("lo").alias("node")).unionByName(close.select(F.col("hi").alias("node"))).distinct()
-    sets = saved(shingle_sets(_texts_of(docs, needed), words), "minhash-sets")
-    both = close.join(sets.select(F.col("node").alias("lo"), F.col("set").alias("s")), "lo").join(sets.select(F.col("node").alias("hi"), F.col("set").alias("t")), "hi")
+    full = kept.save(sets(needed), "sets")
+    both = attach(attach(close, full, "lo", "s", "hi"), full, "hi", "t", "lo")
     same = F.size(F.array_intersect("s", "t"))
-    both = both.select("lo", "hi", same.alias("same"), (F.size("s") + F.size("t") - same).alias("either"))
-    return saved(both.filter(F.col("same") * 100 >= F.col("either") * percent).select("lo", "hi").distinct(), "minhash-links")
+    both = both.select("lo", "hi", *extra, same.alias("same"), (F.size("s") + F.size("t") - same).alias("either"))
+    return kept.save(both.filter(F.col("same") * 100 >= F.col("either") * percent).select("lo", "hi", *extra), "links")
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each group of near-duplicates; all columns stay."""
-    gone = saved(near_duplicates(docs, words, percent).filter("not kept").select(F.col("doc_id").alias("__gone")).distinct(), "minhash-gone")
-    maybe, clear = split_by_keys(docs, F.col("doc_id").cast("long"), gone)
-    return clear.unionByName(maybe.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti"))
+    """``docs`` with one row of each group of near-duplicates; all columns stay.
+
+    Of rows that repeat the id that stays, the one that is first as JSON stays; rows with a null doc_id all stay.
+    """
+    found, repeated = _classified(docs, words, percent)
+    gone_id = free_name("_gone", docs)
+    gone = saved(found.filter("not kept").select(F.col("doc_id").alias(gone_id)).distinct(), "minhash-gone")
+    own = F.col("doc_id").cast("long")
+    maybe, clear = split_by_keys(docs, own, gone)
+    rows = clear.unionByName(maybe.join(gone, own == F.col(gone_id), "left_anti"))
+    if repeated.isEmpty():
+        return rows
+    maybe, clear = split_by_keys(rows, own, repeated.select("doc_id"))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    one = maybe.filter("doc_id is not null").groupBy(own.alias("_key")).agg(F.min_by(row, F.to_json(row)).alias("_row")).select("_row.*")
+    return clear.unionByName(maybe.filter("doc_id is null")).unionByName(one)

@@ -1,12 +1,15 @@
 """Ogg media columns: multiplexed logical streams written to and read from binary values.
 
-The encoder puts 8-bit samples into packets that are dealt to one or more logical streams in turn; each packet's end
-sample is the granule position of the page on which it ends. The decoder verifies page checksums, reassembles packets
-from lacing values, demultiplexes by serial number, and derives timestamps from granule positions (RFC 3533).
+The encoder deals 8-bit samples to one or more channels, each a logical stream of its own. A stream's packets are laid
+into pages one after the other, so that a page holds several packets and a packet may go on in the next page; a page's
+granule position is the end sample of the last packet that ends on it. The decoder verifies page checksums, reassembles
+packets from lacing values, demultiplexes by serial number, and derives the time of every packet backwards from the
+granule position of the page on which it ends (RFC 3533).
 
 Defined results: a null value is treated as empty by ``encode_texts``; damaged or truncated media raise OggError in
-``decode`` and become a null payload with the reason in ``error`` in ``decode_media``; repeated and empty values are
-values like others; the empty table gives the empty table.
+``decode`` and become a null payload with the reason in ``error`` in ``decode_media``; values are stored whole however
+long; repeated, equal and empty values are values like others, equal ones with equal media; the empty table gives the
+empty table; other columns may have any names but ``media``, ``payload``, ``feature`` and ``error``, which are made anew.
 """
 
 from __future__ import annotations
@@ -20,12 +23,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
-from .common import in_small_batches
+from .common import map_in_slices
 
-RATE, PACKET, STREAMS, BLOCK = 8000, 4096, 2, 64
+#: Samples in a second, samples in a packet, logical streams, lacing values in a page at most, bytes of padding.
+RATE, PACKET, STREAMS, LACING, BLOCK = 8000, 1000, 2, 17, 64
 CONTINUED, FIRST, LAST = 1, 2, 4
-MAGIC = b"\x80pcm8\x00"  # head of a stream's identification packet: then rate, stream number, streams, samples
+MAGIC = b"\x80pcm8\x00"  # head of a stream's identification packet: then rate, channel, channels, samples
 HEAD = struct.Struct("<4sBBqIII B")
 IDENT = struct.Struct("<6sIBBQ")
 NO_GRANULE = -1
@@ -42,39 +47,45 @@ def checksum(page: bytes) -> int:
     return int.from_bytes(reflected.to_bytes(4, "little").translate(REVERSED), "big")
 
 
-def pages(serial: int, packet: bytes, granule: int, flags: int, number: int) -> list[bytes]:
-    """The pages of one packet. It starts a page of its own and, if it needs more than one, goes on in the next."""
-    lacing = b"\xff" * (len(packet) // 255) + bytes([len(packet) % 255])
-    out = []
-    for i in range(0, len(lacing), 255):
-        part, last = lacing[i : i + 255], i + 255 >= len(lacing)
-        kind = (CONTINUED if i else flags & FIRST) | (flags & LAST if last else 0)
-        head = HEAD.pack(b"OggS", 0, kind, granule if last else NO_GRANULE, serial, number + len(out), 0, len(part))
-        body = packet[i * 255 : i * 255 + sum(part)]
-        page = head + part + body
-        out.append(page[:22] + struct.pack("<I", checksum(page)) + page[26:])
+def page(serial: int, number: int, granule: int, flags: int, lacing: bytes, body: bytes) -> bytes:
+    made = HEAD.pack(b"OggS", 0, flags, granule, serial, number, 0, len(lacing)) + lacing + body
+    return made[:22] + struct.pack("<I", checksum(made)) + made[26:]
+
+
+def logical_stream(serial: int, head: bytes, packets: list[bytes], lacing: int = LACING) -> list[bytes]:
+    """The pages of one stream: one for its head, then packets end to end, ``lacing`` values to a page."""
+    values = [(n, i) for i, p in enumerate(packets) for n in (*[255] * (len(p) // 255), len(p) % 255)]
+    ends = np.cumsum([len(p) for p in packets]).tolist()
+    body, at = b"".join(packets), 0
+    out = [page(serial, 0, 0, FIRST | (0 if values else LAST), bytes([len(head)]), head)]
+    for k in range(0, len(values), lacing):
+        part = values[k : k + lacing]
+        ended = [i for n, i in part if n < 255]
+        flags = (CONTINUED if k and values[k - 1][0] == 255 else 0) | (LAST if k + lacing >= len(values) else 0)
+        size = sum(n for n, _ in part)
+        out.append(page(serial, len(out), ends[ended[-1]] if ended else NO_GRANULE, flags, bytes(n for n, _ in part), body[at : at + size]))
+        at += size
     return out
 
 
-def encode(payload: bytes, rate: int = RATE, streams: int = STREAMS, packet: int = PACKET) -> bytes:
-    """Samples of one byte; packet k of ``packet`` samples goes to logical stream k mod ``streams``."""
-    out, number = [], [1] * streams
+def encode(payload: bytes, rate: int = RATE, streams: int = STREAMS, packet: int = PACKET, lacing: int = LACING) -> bytes:
+    """Samples of one byte; sample k belongs to channel k mod ``streams``. Pages of the streams alternate, heads first."""
+    made = []
     for s in range(streams):
-        out += pages(s + 1, IDENT.pack(MAGIC, rate, s, streams, len(payload)), 0, FIRST, 0)
-    parts = range(0, len(payload), packet)
-    for k, i in enumerate(parts):
-        s, part = k % streams, payload[i : i + packet]
-        made = pages(s + 1, part, i + len(part), LAST if k + streams >= len(parts) else 0, number[s])
-        number[s] += len(made)
-        out += made
-    return b"".join(out)
+        own = payload[s::streams]
+        parts = [own[i : i + packet] for i in range(0, len(own), packet)]
+        made.append(logical_stream(s + 1, IDENT.pack(MAGIC, rate, s, streams, len(payload)), parts, lacing))
+    return b"".join(pages[k] for k in range(max(map(len, made))) for pages in made if k < len(pages))
 
 
 @dataclass
 class Packet:
+    """``granule`` is that of the page on which the packet ends, ``after`` the bytes of later packets that end there."""
+
     serial: int
     data: bytes
     granule: int
+    after: int
     first: bool
 
 
@@ -102,16 +113,20 @@ def packets(media: bytes) -> list[Packet]:
         open_part = parts.setdefault(serial, [])
         if bool(kind & CONTINUED) != bool(open_part):
             raise OggError("packet broken between pages")
-        pos, begun, ends = at + 27 + n, at + 27 + n, [i for i, x in enumerate(lacing) if x < 255]
-        for i, x in enumerate(lacing):
+        pos = begun = at + 27 + n
+        ended = []
+        for x in lacing:
             pos += x
             if x < 255:
-                data = b"".join([*open_part, media[begun:pos]])
-                out.append(Packet(serial, data, granule if i == ends[-1] else NO_GRANULE, bool(kind & FIRST)))
+                ended.append(b"".join([*open_part, media[begun:pos]]))
                 open_part.clear()
                 begun = pos
-        if begun < pos or (lacing and lacing[-1] == 255):
+        if lacing and lacing[-1] == 255:
             open_part.append(media[begun:pos])
+        after = sum(map(len, ended))
+        for data in ended:
+            after -= len(data)
+            out.append(Packet(serial, data, granule, after, bool(kind & FIRST)))
         at = end
     if any(parts.values()):
         raise OggError("last packet is not complete")
@@ -125,32 +140,40 @@ class Decoded:
     streams: int
     packets: int
     seconds: float
+    starts: dict[int, list[float]]  # by stream, the times at which its packets begin
 
 
 def decode(media: bytes) -> Decoded:
     """The samples of all logical streams in order of time."""
-    rate = streams = samples = 0
-    timed: list[tuple[int, bytes]] = []
-    known: set[int] = set()
+    rate = streams = samples = count = 0
+    channel: dict[int, int] = {}
+    known: dict[int, list[bytes]] = {}
+    begun: dict[int, list[float]] = {}
+    at: dict[int, int] = {}
     for p in packets(media):
-        if p.first:
+        if p.first and p.serial not in known:
             if len(p.data) != IDENT.size or not p.data.startswith(MAGIC):
                 raise OggError("unknown stream type")
-            _, rate, _, streams, samples = IDENT.unpack(p.data)
-            known.add(p.serial)
-        elif p.serial not in known or p.granule < len(p.data):
+            _, rate, channel[p.serial], streams, samples = IDENT.unpack(p.data)
+            known[p.serial], begun[p.serial], at[p.serial] = [], [], 0
+        elif p.serial not in known or p.granule < 0:
             raise OggError("packet without stream or position")
         else:
-            timed.append((p.granule - len(p.data), p.data))
-    timed.sort()
-    at = 0
-    for start, data in timed:
-        if start != at:
-            raise OggError("gap in time")
-        at += len(data)
-    if at != samples or len(known) != streams:
+            end = p.granule - p.after
+            if end - len(p.data) != at[p.serial]:
+                raise OggError("gap in time")
+            begun[p.serial].append(at[p.serial] / max(1, rate))
+            known[p.serial].append(p.data)
+            at[p.serial], count = end, count + 1
+    if sum(at.values()) != samples or len(known) != streams or sorted(channel.values()) != list(range(streams)):
         raise OggError("samples missing")
-    return Decoded(b"".join(x for _, x in timed), rate, streams, len(timed), at / rate if rate else 0.0)
+    payload = np.empty(samples, np.uint8)
+    for serial, parts in known.items():
+        own = np.frombuffer(b"".join(parts), np.uint8)
+        if len(own) != len(payload[channel[serial] :: streams]):
+            raise OggError("samples missing")
+        payload[channel[serial] :: streams] = own
+    return Decoded(payload.tobytes(), rate, streams, count, samples / (streams * rate) if rate else 0.0, begun)
 
 
 def features(d: Decoded) -> str:
@@ -160,7 +183,7 @@ def features(d: Decoded) -> str:
     crossings = int(np.count_nonzero((x[1:] < 0) != (x[:-1] < 0)))
     thirds = [int(np.abs(p).sum()) // max(1, len(p)) for p in np.array_split(x, 4)]
     return (
-        f"rate={d.rate};streams={d.streams};packets={d.packets};ms={len(x) * 1000 // max(1, d.rate)};"
+        f"rate={d.rate};streams={d.streams};packets={d.packets};ms={round(d.seconds * 1000)};"
         f"mean={int(x.sum()) * 1000 // n};energy={int((x * x).sum()) // n};peak={int(np.abs(x).max(initial=0))};"
         f"crossings={crossings};envelope={','.join(map(str, thirds))}"
     )
@@ -171,42 +194,37 @@ def encode_texts(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(0, b.num_rows, 500):
-                part = b.slice(i, 500)
-                raw = [(t.as_py() or "").encode("utf-8") for t in part.column(1)]
-                media = [encode(x + bytes(max(block, -(-len(x) // block) * block) - len(x))) for x in raw]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(x) for x in raw], pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"]
-                )
+            raw = [(t.as_py() or "").encode("utf-8") for t in b.column(1)]
+            media = [encode(x + bytes(max(block, -(-len(x) // block) * block) - len(x))) for x in raw]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array([len(x) for x in raw], pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"]
+            )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return in_small_batches(docs.select("doc_id", "text")).mapInArrow(run, f"doc_id {kind}, n_bytes bigint, media binary")
+    return map_in_slices(docs.select("doc_id", "text"), run, f"doc_id {kind}, n_bytes bigint, media binary")
 
 
 def decode_media(media: DataFrame) -> DataFrame:
     """The columns of ``media`` and payload, feature, error: what is read back from the column media."""
-    schema = media.drop("payload", "feature", "error")
-    names = schema.columns
-    at = names.index("media")
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.schema.fields)
+    rows = media.drop("payload", "feature", "error")
+    at = rows.columns.index("media")
+    schema = T.StructType([*rows.schema.fields, T.StructField("payload", T.BinaryType()), T.StructField("feature", T.StringType()), T.StructField("error", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(0, b.num_rows, 500):
-                part = b.slice(i, 500)
-                payloads, feats, errors = [], [], []
-                for m in part.column(at):
-                    try:
-                        d = decode(m.as_py() or b"")
-                        payloads.append(d.payload), feats.append(features(d)), errors.append(None)
-                    except OggError as e:
-                        payloads.append(None), feats.append(None), errors.append(str(e))
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(payloads, pa.binary()), pa.array(feats, pa.string()), pa.array(errors, pa.string())],
-                    names=[*part.schema.names, "payload", "feature", "error"],
-                )
-
-    return in_small_batches(schema).mapInArrow(run, f"{kinds}, payload binary, feature string, error string")
+            payloads, feats, errors = [], [], []
+            for m in b.column(at):
+                try:
+                    d = decode(m.as_py() or b"")
+                    payloads.append(d.payload), feats.append(features(d)), errors.append(None)
+                except OggError as e:
+                    payloads.append(None), feats.append(None), errors.append(str(e))
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns, pa.array(payloads, pa.binary()), pa.array(feats, pa.string()), pa.array(errors, pa.string())],
+                names=[*b.schema.names, "payload", "feature", "error"],
+            )
+
+    return map_in_slices(rows, run, schema)
 
 
 def media_digest(media: bytes) -> str:

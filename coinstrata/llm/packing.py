@@ -5,11 +5,13 @@ nearly full, or that no other underfull bin could join, are final; the underfull
 ever fewer buckets, each bin being one item of the next best-fit round.
 
 Defined results: a null text counts as empty; an empty document is the separator alone; repeated rows are packed
-as often as they occur; an empty table gives an empty result; extra columns of the input are ignored.
+as often as they occur; of equal lengths the smaller doc_id and piece come first; texts are tokenised whole however
+long; an empty table gives an empty result; extra columns of the input are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -20,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import in_small_batches, parts_for, saved
+from .common import map_in_slices, parts_for, saved
 
 CAPACITY = 2048
 SEPARATOR = 0
@@ -32,6 +34,12 @@ CACHED = 300_000
 FLUSH_IDS = 1_000_000
 
 
+#: The tokenizers that the fast path knows: Unicode composition, one space for white space, lower case; parts split by
+#: this expression, bytes as letters. Others tokenise each text whole.
+KNOWN = (
+    ["NFC", ("Replace", r"\s+", " "), "Lowercase"],
+    [("Split", r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+", "Removed", True), ("ByteLevel", False, False)],
+)
 #: What the fast path may not meet: all but Latin text, whose lower case and normal form are plain, and marks that
 #: could be special tokens. Texts of PLAIN bytes alone (but for the capital dotted i) need no closer look.
 UNUSUAL = re.compile(r"[^\t\n\r\x20-\x7e\xa1-\u012f\u0131-\u024f]|<\|")
@@ -49,6 +57,23 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+def settings_of(tokenizer) -> tuple[list, list]:
+    """Normaliser and split of a tokenizer, in the form of KNOWN."""
+    spec = json.loads(tokenizer.to_str())
+
+    def steps(part: dict | None, inner: str) -> list[dict]:
+        return [] if part is None else part[inner] if part["type"] == "Sequence" else [part]
+
+    def named(x: dict):
+        if x["type"] == "Replace":
+            return "Replace", x["pattern"].get("Regex"), x["content"]
+        if x["type"] == "Split":
+            return "Split", x["pattern"].get("Regex"), x["behavior"], x["invert"]
+        return (x["type"], x["add_prefix_space"], x["use_regex"]) if x["type"] == "ByteLevel" else x["type"]
+
+    return [named(x) for x in steps(spec["normalizer"], "normalizers")], [named(x) for x in steps(spec["pre_tokenizer"], "pretokenizers")]
+
+
 class Recent(dict):
     """A bounded table: when it is full it becomes the old one, in which misses are looked up before ``make``."""
 
@@ -79,8 +104,9 @@ class PartIds(Recent):
 class WordIds(Recent):
     """Ids of words by way of bounded tables.
 
-    The tokenizer lower-cases, splits into parts and merges inside each part alone, so the ids of a text of plain
-    words are the ids of their parts in order. Texts that aren't plain go to it whole.
+    A tokenizer as in KNOWN lower-cases, splits into parts and merges inside each part alone, so the ids of a text of
+    plain words are the ids of their parts in order. Texts that aren't plain, and all texts of other tokenizers, go to
+    it whole.
     """
 
     def __init__(self, path: str):
@@ -88,14 +114,15 @@ class WordIds(Recent):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.parts = PartIds(self.tokenizer.model)
+        self.known = settings_of(self.tokenizer) == KNOWN
 
     def make(self, word: bytes) -> bytes:
         return b"".join(map(self.parts.__getitem__, PARTS.findall(word.decode().lower())))
 
     def ids(self, raw: bytes) -> bytes:
         """Ids of a text in UTF-8."""
-        if (raw.translate(None, PLAIN) or any(x in raw for x in LOOK)) and UNUSUAL.search(text := raw.decode()):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if not self.known or ((raw.translate(None, PLAIN) or any(x in raw for x in LOOK)) and UNUSUAL.search(raw.decode())):
+            return np.array(self.tokenizer.encode(raw.decode(), add_special_tokens=False).ids, "<u4").tobytes()
         return b"".join(map(self.__getitem__, raw.lower().split()))
 
 
@@ -140,7 +167,7 @@ def tokenise(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, sep
             if rows:
                 yield batch(keys, rows, b.schema.field(0).type)
 
-    return in_small_batches(docs.select("doc_id", "text")).mapInArrow(run, schema)
+    return map_in_slices(docs.select("doc_id", "text"), run, schema)
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -186,7 +213,8 @@ def _round(items: DataFrame, length: str, level: int, buckets: int, capacity: in
             rows = rows.append_column(name, pa.array(values, pa.int64()))
         return rows
 
-    bucket = F.pmod(F.xxhash64(F.lit(level), *names), F.lit(buckets))
+    # the number of the row as it is read keeps equal rows out of one bucket
+    bucket = F.pmod(F.xxhash64(F.lit(level), F.monotonically_increasing_id(), *names), F.lit(buckets))
     return items.withColumn("_bucket", bucket).groupBy("_bucket").applyInArrow(pack, schema)
 
 

@@ -21,16 +21,9 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    found = mixing.weighed(docs, mixing.probabilities(docs))
-    return found.select(
-        "doc_id",
-        F.col("__mix_source").alias("source"),
-        F.col("__mix_lang").alias("lang"),
-        F.col("__mix_topic").alias("topic"),
-        F.col("__mix_tokens").alias("tokens"),
-        F.round("__mix_prob", 6).alias("prob"),
-        F.col("__mix_kept").alias("kept"),
-    )
+    found, names = mixing.weighed(docs, mixing.probabilities(docs))
+    of = lambda k: F.col(names[k])
+    return found.select("doc_id", *(of(k).alias(k) for k in ("source", "lang", "topic", "tokens")), F.round(of("prob"), 6).alias("prob"), of("kept").alias("kept"))
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,9 +5,9 @@ by "and" and "or". One pass over the corpus writes postings (trigram, document)
 intersecting postings gives the candidate documents of each rule, and only those are searched with its expression.
 Rules without mandatory trigrams search every document.
 
-Defined results: a null text counts as empty and has no spans; repeated rows give repeated results; documents that
-share an id share candidates, which the exact search makes harmless; a null id is an id like another; empty tables
-give empty results; offsets are code points, ends exclusive; texts are searched whole.
+Defined results: a null text counts as empty and has no spans; repeated rows give repeated results; null and repeated
+ids change nothing; empty tables give empty results; offsets are code points, ends exclusive; texts are searched whole
+however long; other columns may have any names.
 """
 
 from __future__ import annotations
@@ -23,10 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_small_batches, saved, split_by_keys
+from .common import Scratch, free_name, map_in_slices, saved, split_by_keys
 
-#: Names that no column of a caller's has.
-ID, SPANS = "__secret_id", "__secret_spans"
 #: Alternatives kept as exact strings while a query is derived, and members of a class that are spelled out.
 EXACT, SPELLED = 64, 6
 
@@ -144,9 +142,8 @@ def folded(text: str) -> str:
 
 
 def postings(docs: DataFrame, trigrams: set[str]) -> DataFrame:
-    """The inverted index over ``trigrams`` of whole texts: trigram, doc_id."""
+    """The inverted index over ``trigrams`` of whole texts: trigram, doc; ``docs`` has doc (a number) and text."""
     wanted = sorted(trigrams)
-    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -157,54 +154,72 @@ def postings(docs: DataFrame, trigrams: set[str]) -> DataFrame:
                     here = [t for t in wanted if t in low]
                     found += here
                     owners += [i] * len(here)
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), b.column(0).take(pa.array(owners, pa.int64()))], names=["trigram", "doc_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), b.column(0).take(pa.array(owners, pa.int64()))], names=["trigram", "doc"])
 
-    return in_small_batches(docs.select("doc_id", "text")).mapInArrow(run, f"trigram string, doc_id {kind}")
+    return map_in_slices(docs.select("doc", "text"), run, "trigram string, doc long")
 
 
 def candidates(index: DataFrame, queries: dict[int, frozenset[frozenset[str]]]) -> DataFrame:
-    """doc_id, rules: the numbers of the rules one of whose clauses has all its trigrams posted for the document."""
+    """doc, rules: the numbers of the rules one of whose clauses has all its trigrams posted for the document."""
     rows = [(r, k, len(clause), t) for r, q in sorted(queries.items()) for k, clause in enumerate(sorted(map(sorted, q))) for t in clause]
     # as many rows as the rules have trigrams, whatever the corpus
     clauses = index.sparkSession.createDataFrame(rows, "rule int, clause int, needs int, trigram string")
-    hits = index.join(F.broadcast(clauses), "trigram").groupBy("doc_id", "rule", "clause", "needs").agg(F.count_distinct("trigram").alias("has"))
-    return hits.filter("has = needs").groupBy("doc_id").agg(F.sort_array(F.collect_set("rule")).alias("rules"))
+    hits = index.join(F.broadcast(clauses), "trigram").groupBy("doc", "rule", "clause", "needs").agg(F.count_distinct("trigram").alias("has"))
+    return hits.filter("has = needs").groupBy("doc").agg(F.sort_array(F.collect_set("rule")).alias("rules"))
+
+
+def _with_rules(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """All columns of ``docs``, and last the numbers of the rules with mandatory trigrams that are to be searched for.
+
+    The index knows a document by a hash of its id and text: documents that share one also share candidates, which the
+    exact search makes harmless, and rows without an id are not one document.
+    """
+    queries = {i: q for i, r in enumerate(rules) if (q := trigram_query(r.pattern)) is not None}
+    found, doc = free_name("_rules", docs), free_name("_doc", docs)
+    if not queries:
+        return docs.withColumn(found, F.array().cast("array<int>"))
+    number = F.xxhash64("doc_id", "text")
+    with Scratch(docs.sparkSession, "secrets") as kept:
+        index = kept.save(postings(docs.select(number.alias("doc"), "text"), {t for q in queries.values() for c in q for t in c}), "trigrams")
+        narrowed = saved(candidates(index, queries).toDF(doc, found), "secret-candidates")
+    maybe, others = split_by_keys(docs, number, narrowed.select(doc))
+    marked = maybe.withColumn(doc, number).join(narrowed, doc, "left").drop(doc)
+    return marked.unionByName(others.withColumn(found, F.lit(None).cast("array<int>")))
+
+
+class Search:
+    """Finds the spans of a text: of rules that have no mandatory trigrams, and of those that the index proposes."""
+
+    def __init__(self, rules: tuple[Rule, ...]):
+        self.rules = rules
+        self.compiled = [re.compile(r.pattern, re.ASCII) for r in rules]
+        self.always = [i for i, r in enumerate(rules) if trigram_query(r.pattern) is None]
+
+    def spans(self, text: str | None, proposed: list[int] | None) -> list[tuple[int, int, int]]:
+        """start, number of the rule, end; sorted."""
+        out = []
+        for i in sorted({*self.always, *(proposed or ())}) if text else ():
+            rule = self.rules[i]
+            for m in self.compiled[i].finditer(text):
+                if m.end(rule.group) - m.start(rule.group) >= rule.least:
+                    out.append((m.start(), i, m.end()))
+        return sorted(out)
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """doc_id, text, spans: array of kind, start, end in order of start, then of the rules."""
-    queries = {i: q for i, r in enumerate(rules) if (q := trigram_query(r.pattern)) is not None}
-    always = [i for i in range(len(rules)) if i not in queries]
     docs = docs.select("doc_id", "text")
-    if queries:
-        index = saved(postings(docs, {t for q in queries.values() for c in q for t in c}), "trigrams")
-        narrowed = saved(candidates(index, queries), "secret-candidates").select(F.col("doc_id").alias("_id"), "rules")
-        maybe, others = split_by_keys(docs, F.col("doc_id"), narrowed.select("_id"))
-        found = maybe.join(narrowed, maybe.doc_id.eqNullSafe(narrowed._id), "left").select("doc_id", "text", "rules")
-        docs = found.unionByName(others.withColumn("rules", F.lit(None).cast("array<int>")))
-    else:
-        docs = docs.withColumn("rules", F.array().cast("array<int>"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compiled = [re.compile(r.pattern, re.ASCII) for r in rules]
+        search = Search(rules)
         for b in batches:
-            out = []
-            for text, chosen in zip(b.column(1), b.column(2)):
-                spans = []
-                if text.is_valid:
-                    text = text.as_py()
-                    for i in sorted({*always, *(chosen.as_py() or ())}):
-                        rule = rules[i]
-                        for m in compiled[i].finditer(text):
-                            if m.end(rule.group) - m.start(rule.group) >= rule.least:
-                                spans.append((m.start(), i, m.end()))
-                spans.sort()
-                out.append([{"kind": rules[i].kind, "start": s, "end": e} for s, i, e in spans])
+            found = [search.spans(text.as_py(), proposed.as_py()) for text, proposed in zip(b.column(1), b.column(2))]
+            out = [[{"kind": rules[i].kind, "start": s, "end": e} for s, i, e in spans] for spans in found]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, span)], names=["doc_id", "text", "spans"])
 
-    return in_small_batches(docs).mapInArrow(run, f"doc_id {kind}, text string, spans array<struct<kind: string, start: bigint, end: bigint>>")
+    return map_in_slices(_with_rules(docs, rules), run, f"doc_id {kind}, text string, spans array<struct<kind: string, start: bigint, end: bigint>>")
 
 
 def spans_text(spans: Column) -> Column:
@@ -212,25 +227,21 @@ def spans_text(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``docs`` (with n_chars) with each secret, or run of overlapping ones, replaced by ``<secret:kind>``; all columns stay."""
-    found = saved(scan(docs, rules).select("doc_id", "spans").filter(F.size("spans") > 0), "secret-spans")
-    # rows that repeat an id and text have the same spans; others that share an id are told apart by searching again
-    spans = F.array_sort(F.array_distinct(F.flatten(F.collect_set("spans")))).alias(SPANS)
-    found = found.groupBy("doc_id").agg(spans).withColumnRenamed("doc_id", ID)
-    maybe, clear = split_by_keys(docs, F.col("doc_id"), found.select(ID))
-    marked = maybe.join(found, maybe["doc_id"].eqNullSafe(found[ID]), "left").drop(ID)
+    """``docs`` with each secret, or run of overlapping ones, replaced by ``<secret:kind>``; all columns stay. n_chars,
+    if there is one, becomes the new length of a text that changed."""
     names = docs.columns
+    t, n = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compiled = {r.kind: (re.compile(r.pattern, re.ASCII), r) for r in rules}
-        t, n = names.index("text"), names.index("n_chars") if "n_chars" in names else None
+        search = Search(rules)
         for b in batches:
             columns = list(b.columns[: len(names)])
             texts = columns[t].to_pylist()
             sizes = columns[n].to_pylist() if n is not None else None
-            for i, spans in enumerate(b.column(len(names)).to_pylist()):
-                if spans and texts[i] is not None:
-                    texts[i] = cut_out(texts[i], spans, compiled)
+            for i, proposed in enumerate(b.column(len(names)).to_pylist()):
+                spans = search.spans(texts[i], proposed)
+                if spans:
+                    texts[i] = cut_out(texts[i], spans, rules)
                     if sizes:
                         sizes[i] = len(texts[i])
             columns[t] = pa.array(texts, columns[t].type)
@@ -238,18 +249,14 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
                 columns[n] = pa.array(sizes, columns[n].type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return clear.unionByName(in_small_batches(marked).mapInArrow(run, docs.schema))
+    return map_in_slices(_with_rules(docs, rules), run, docs.schema)
 
 
-def cut_out(text: str, spans: list[dict], compiled: dict) -> str:
-    """Replace those spans that are matches in this text."""
+def cut_out(text: str, spans: list[tuple[int, int, int]], rules: tuple[Rule, ...]) -> str:
+    """``text`` with its spans replaced; of those that begin together the longest counts."""
     out, done = [], 0
-    for x in sorted(spans, key=lambda x: (x["start"], -x["end"])):
-        expression, rule = compiled[x["kind"]]
-        m = expression.match(text, x["start"])
-        if not m or m.end() != x["end"] or m.end(rule.group) - m.start(rule.group) < rule.least:
-            continue
-        if x["start"] >= done:
-            out += [text[done : x["start"]], f"<secret:{x['kind']}>"]
-        done = max(done, x["end"])
+    for start, i, end in sorted(spans, key=lambda x: (x[0], -x[2], x[1])):
+        if start >= done:
+            out += [text[done:start], f"<secret:{rules[i].kind}>"]
+        done = max(done, end)
     return "".join([*out, text[done:]])

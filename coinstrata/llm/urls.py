@@ -1,9 +1,10 @@
 """URL filters whose lists change over time.
 
 Dated list entries (block, allow, remove) become validity intervals; an as-of join then judges each capture by the
-entries that were active when it was fetched. Intervals are dealt to the periods they span, so the join is on
-(key, period) and one busy host is spread over all periods; rows are narrow and Spark broadcasts the list only if it
-is small. The most specific active entry decides, and of equally specific ones a block.
+entries that were active when it was fetched. Intervals, cut at the first and the last fetch, are dealt to the periods
+they span, and only captures with a key that the lists may name are joined, on (key, period); the captures of a busy
+key and period (a top-level domain, a crawl of one week) are dealt to several tasks, each with a copy of that period's
+entries. The most specific active entry decides, and of equally specific ones a block.
 
 Defined results: keys are a host, each of its parent domains, and host plus each path prefix that ends at a slash or
 at the path's end; matching is blind to case; entries with a null pattern or time are ignored; at one moment the later
@@ -17,7 +18,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import if_any, join_spread, split_by_keys
+
 PERIOD = 30 * 86400
+#: Captures from which a key and period, or a repeated capture, counts as busy.
+BUSY = 1000
+#: Periods that an interval is dealt to at most: longer stretches of fetch times have longer periods.
+MOST_PERIODS = 1000
 
 
 def host_of(url: Column) -> Column:
@@ -51,26 +58,36 @@ def intervals(entries: DataFrame) -> DataFrame:
 def judge(captures: DataFrame, entries: DataFrame, period: int = PERIOD) -> DataFrame:
     """capture_id, url, fetched, host, n_active, decided_by, blocked of captures capture_id, url, fetched (seconds)."""
     seen = captures.select("capture_id", "url", "fetched")
-    host = host_of(F.coalesce("url", F.lit("")))
-    last = seen.agg(F.max("fetched").alias("_last"))
-    spans = intervals(entries).join(F.broadcast(last)).filter("since <= _last")
-    end = F.least(F.coalesce(F.col("until") - 1, F.col("_last")), F.col("_last"))
-    spans = spans.withColumn("period", F.explode(F.sequence(F.floor(F.col("since") / period), F.floor(end / period)))).drop("_last")
+    first, last = seen.agg(F.min("fetched"), F.max("fetched")).first()
+    period = max(period, ((last or 0) - (first or 0)) // MOST_PERIODS)
+    least, most = F.lit(first).cast("long"), F.lit(last).cast("long")
+    spans = intervals(entries).filter((F.col("since") <= most) & (F.col("until").isNull() | (F.col("until") > least)))
+    begin = F.floor(F.greatest(F.col("since"), least) / period)
+    end = F.floor(F.least(F.coalesce(F.col("until") - 1, most), most) / period)
+    slot = F.concat_ws(" ", F.col("period").cast("string"), "key").alias("slot")
+    listed = spans.withColumn("period", F.explode(F.sequence(begin, end))).select(slot, "key", "list", "action", "since", "until")
     # one row for each distinct url and time, so that repeated captures cost nothing and none is lost
     once = seen.filter("url is not null and fetched is not null").select("url", "fetched").distinct()
-    keyed = once.withColumns({"period": F.floor(F.col("fetched") / period), "key": F.explode(keys_of(host_of(F.col("url")), path_of(F.col("url"))))})
+    keyed = once.withColumns({"period": F.floor(F.col("fetched") / period), "_key": F.explode(keys_of(host_of(F.col("url")), path_of(F.col("url"))))})
+    keyed, _ = split_by_keys(keyed, F.col("_key"), entries.select(F.lower("pattern").alias("key")).filter("key is not null").distinct())
+    keyed = keyed.select("url", "fetched", F.concat_ws(" ", F.col("period").cast("string"), "_key").alias("slot"))
+    busy = if_any(keyed.groupBy("slot").count().filter(F.col("count") > BUSY).select("slot"))
     active = (F.col("since") <= F.col("fetched")) & (F.col("until").isNull() | (F.col("fetched") < F.col("until")))
-    hits = keyed.join(spans, ["key", "period"]).filter(active)
+    hits = join_spread(keyed, listed, "slot", busy, F.col("url")).filter(active)
     strength = F.struct(F.length("key"), F.col("action") == "block", "list", "key")
     verdicts = hits.groupBy("url", "fetched").agg(
         F.count("*").alias("n_active"), F.max_by(F.struct("action", F.concat_ws(":", "list", "key").alias("by")), strength).alias("v")
     )
-    judged = seen.join(verdicts, ["url", "fetched"], "left")
+    capture = F.concat_ws(" ", F.col("fetched").cast("string"), "url")
+    verdicts = verdicts.select(capture.alias("capture"), "n_active", "v")
+    asked = seen.withColumn("capture", F.when(F.col("url").isNotNull() & F.col("fetched").isNotNull(), capture))
+    often = if_any(asked.groupBy("capture").count().filter(F.col("count") > BUSY).select("capture"))
+    judged = join_spread(asked, verdicts, "capture", often, F.col("capture_id"), "left")
     return judged.select(
         "capture_id",
         "url",
         "fetched",
-        host.alias("host"),
+        host_of(F.coalesce("url", F.lit(""))).alias("host"),
         F.coalesce("n_active", F.lit(0)).cast("long").alias("n_active"),
         F.col("v.by").alias("decided_by"),
         F.coalesce(F.col("v.action") == "block", F.lit(False)).alias("blocked"),

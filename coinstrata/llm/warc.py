@@ -1,13 +1,14 @@
 """A deterministic sharded WARC writer and its reader.
 
-Records are sorted by page within shards of equal id ranges; each shard is written as files that roll over at a
+Records are range-sorted by page, into shards of about equal bytes; each shard is written as files that roll over at a
 compressed size. Of pages with equal payloads the one with the smallest id is a response and the others are revisit
 records that refer to it; headers, lengths and digests are made anew. Files get temporary names until they are whole,
 and only files that the manifest lists count, so tasks that are run again change nothing.
 
-Defined results: a null html is the empty payload; a page without id goes to the first shard and its record id says
-``null``; rows repeated with the same id and payload are all responses; an empty table gives an archive of no files;
-extra columns are ignored; payloads of fewer than ``least_bytes`` are never revisits.
+Defined results: a null html is the empty payload; pages without id come first and their record ids say ``null``;
+pages that share an id are sorted by a hash of url and payload, which may part them into several shards; rows repeated
+with the same id and payload are all responses; payloads are written whole however long; an empty table gives an
+archive of no files; extra columns are ignored; payloads of fewer than ``least_bytes`` are never revisits.
 """
 
 from __future__ import annotations
@@ -18,15 +19,22 @@ import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_small_batches, new_path, saved, split_by_keys
+from .common import if_any, join_spread, map_in_slices, new_path, parts_for, saved, split_by_keys
 
-SHARD_BYTES, FILE_BYTES = 32 << 20, 8 << 20
+#: Bytes of payload in a shard, compressed bytes at which a file is full, compressed bytes that a reading task gets.
+SHARD_BYTES, FILE_BYTES, READ_BYTES = 32 << 20, 8 << 20, 8 << 20
+#: Shards at most (larger ones beyond), pages drawn for each to find its bounds, bytes that a record has beside its payload.
+MOST_SHARDS, DRAWN, RECORD_BYTES = 10_000, 64, 600
+#: Copies of a payload from which they are dealt to many tasks; pages without id are sorted before all others.
+HOT, NO_ID = 1000, -(1 << 63)
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "file string, shard bigint, records bigint, bytes bigint, sha256 string"
@@ -74,38 +82,73 @@ def gzip_member(data: bytes, level: int = 6) -> bytes:
     return z.compress(data) + z.flush()
 
 
-def plan_records(pages: DataFrame, least_bytes: int = 0, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, int]:
-    """shard, page_id, url, html (not null), refers_to of each page; and the number of shards."""
+def plan_records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
+    """page_id, url, html (not null), tie (a hash of the last two), refers_to of each page."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
-    size = F.octet_length("html")
+    rows = rows.withColumn("tie", F.xxhash64("url", "html"))
     digest = F.sha1(F.col("html").cast("binary"))
     repeated = (
-        rows.select("page_id", digest.alias("_digest"), size.alias("_size"))
-        .filter(F.col("_size") >= least_bytes)
-        .groupBy("_digest", "_size")
+        rows.filter(F.octet_length("html") >= least_bytes)
+        .groupBy(digest.alias("_digest"))
         .agg(F.min("page_id").alias("_first"), F.count("*").alias("_n"))
         .filter("_n > 1")
-        .select("_digest", "_size", "_first")
     )
     repeated = saved(repeated, "warc-repeated")
-    spread = rows.agg(F.min("page_id").alias("lo"), F.max("page_id").alias("hi"), F.sum(size).alias("bytes")).first()
-    shards = max(1, -(-(spread["bytes"] or 0) // shard_bytes))
-    lo = spread["lo"] or 0
-    width = max(1, -(-((spread["hi"] or 0) - lo + 1) // shards))
-    shard = F.coalesce(F.floor((F.col("page_id") - lo) / width), F.lit(0)).cast("long")
-    with_digest = rows.withColumns({"_digest": digest, "_size": size})
     # only pages that may have a copy meet the table of copies; the others' payloads are not shuffled for it
-    maybe, single = split_by_keys(with_digest, F.col("_digest"), repeated.select("_digest"))
-    joined = maybe.join(repeated, ["_digest", "_size"], "left").unionByName(single.withColumn("_first", F.lit(None).cast("long")))
+    maybe, single = split_by_keys(rows, digest, repeated.select("_digest"))
+    hot = if_any(repeated.filter(F.col("_n") > HOT).select("_digest"))
+    joined = join_spread(maybe.withColumn("_digest", digest), repeated.select("_digest", "_first"), "_digest", hot, F.struct("page_id", "tie"), "left")
+    joined = joined.drop("_digest").unionByName(single.withColumn("_first", F.lit(None).cast("long")))
     refers = F.when(F.col("_first") < F.col("page_id"), F.col("_first"))
-    return joined.select(shard.alias("shard"), "page_id", "url", "html", refers.alias("refers_to")), int(shards)
+    return joined.select("page_id", "url", "html", "tie", refers.alias("refers_to"))
+
+
+def shard_bounds(pages: DataFrame, shard_bytes: int = SHARD_BYTES) -> list[tuple[int, int]]:
+    """The first (page_id, tie) of each shard but the first, so that shards have about equal bytes.
+
+    They are taken from a sample in which a page's chance is its share of the bytes, drawn by a hash of the page itself:
+    the same pages have the same shards, however they are partitioned. At most MOST_SHARDS x DRAWN pages are expected
+    in it, and as many that are larger than that; their ids and hashes are all that reaches the driver.
+    """
+    page = F.coalesce(F.col("page_id").cast("long"), F.lit(NO_ID))
+    keys = pages.select(page.alias("page"), F.xxhash64(F.col("url").cast("string"), F.coalesce("html", F.lit(""))).alias("tie"), (F.octet_length(F.coalesce("html", F.lit(""))) + RECORD_BYTES).alias("size"))
+    total = keys.agg(F.sum("size")).first()[0] or 0
+    shards = min(MOST_SHARDS, parts_for(total, shard_bytes))
+    if shards == 1:
+        return []
+    step = total / (shards * DRAWN)
+    chance = F.pmod(F.xxhash64(F.lit("shard"), "page", "tie"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    drawn = keys.filter(F.col("size") >= chance * step).select("page", "tie", F.greatest(F.col("size").cast("double"), F.lit(step)).alias("weight"))
+    drawn = drawn.groupBy("page", "tie").agg(F.sum("weight").alias("weight")).toPandas().sort_values(["page", "tie"], ignore_index=True)
+    reached = drawn["weight"].cumsum()
+    at = np.searchsorted(reached, reached.iloc[-1] * np.arange(1, shards) / shards) if len(drawn) else []
+    return sorted({(int(drawn["page"][i]), int(drawn["tie"][i])) for i in at})
+
+
+def with_shards(rows: DataFrame, bounds: list[tuple[int, int]]) -> DataFrame:
+    """``rows`` with the number of their shard; only ids and hashes go through Python."""
+    if not bounds:
+        return rows.withColumn("shard", F.lit(0))
+    kind = np.dtype([("page", np.int64), ("tie", np.int64)])
+    shared = rows.sparkSession.sparkContext.broadcast(np.array(bounds, kind))
+
+    @F.pandas_udf("int")
+    def shard(page: pd.Series, tie: pd.Series) -> pd.Series:
+        keys = np.empty(len(page), kind)
+        keys["page"], keys["tie"] = page, tie
+        return pd.Series(np.searchsorted(shared.value, keys, side="right").astype(np.int32))
+
+    return rows.withColumn("shard", shard(F.coalesce("page_id", F.lit(NO_ID)), F.col("tie")))
 
 
 def write_archive(pages: DataFrame, path: str, least_bytes: int = 0, shard_bytes: int = SHARD_BYTES, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Write WARC files under ``path`` and their manifest as JSON under ``path``/manifest; gives the manifest."""
     spark = pages.sparkSession
-    planned, n = plan_records(pages, least_bytes, shard_bytes)
-    tidy = planned.repartition(n, "shard").sortWithinPartitions("shard", "page_id", "url", F.xxhash64("html"))
+    bounds = shard_bounds(pages, shard_bytes)
+    placed = with_shards(plan_records(pages, least_bytes), bounds)
+    # one partition for each shard, which is a range of (page_id, tie)
+    tidy = placed.repartitionById(len(bounds) + 1, "shard").sortWithinPartitions("page_id", "tie")
+    tidy = tidy.select("shard", "page_id", "url", "html", "refers_to")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pa.fs.FileSystem.from_uri(path)
@@ -143,7 +186,7 @@ def write_archive(pages: DataFrame, path: str, least_bytes: int = 0, shard_bytes
             kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done), kinds)], names=["file", "shard", "records", "bytes", "sha256"])
 
-    in_small_batches(tidy).mapInArrow(write, MANIFEST).write.mode("overwrite").json(f"{path}/manifest")
+    map_in_slices(tidy, write, MANIFEST).write.mode("overwrite").json(f"{path}/manifest")
     return read_manifest(spark, path)
 
 
@@ -182,7 +225,8 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """page_id, url, record_type, refers_to, payload_bytes, payload_digest, payload (null for a revisit) of the files that the manifest lists."""
     manifest = read_manifest(spark, path)
-    files = manifest.select("file").repartition(max(1, manifest.count()), "file")
+    size = manifest.agg(F.sum("bytes")).first()[0] or 0
+    files = manifest.select("file").repartition(parts_for(size, READ_BYTES))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pa.fs.FileSystem.from_uri(path)

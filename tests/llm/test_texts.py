@@ -205,7 +205,7 @@ def test_fold_is_crc32(spark):
     assert all(r.f == zlib.crc32(str(r.id).encode()) % 4 for r in out)
 
 
-def test_base64_has_eight_characters_for_each_chunk():
+def test_base64_has_twelve_characters_for_each_chunk():
     chunks = fingerprint.chunk_set("some text that is long enough to have several chunks " * 20)
     text = fingerprint.to_text(chunks)
-    assert len(text) == 8 * len(chunks) and base64.urlsafe_b64decode(text)
+    assert len(text) == 12 * len(chunks) and base64.urlsafe_b64decode(text)
