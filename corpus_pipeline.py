@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coinstrata.llm import langid, minhash, mixing, packing, secrets
-from coinstrata.llm.common import saved, table
+from coinstrata.llm.common import free_name, saved, table
 from coinstrata.llm.queries import tokenizer_path
 
 #: Share of its input's tokens that the mixing stage draws.
@@ -17,8 +17,9 @@ SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; ``lang`` becomes the language found."""
     model = langid.train(langid.training_rows(docs, F.lit(True)))
-    found = langid.identify(docs, model, ("__lang", "__score", "__rejected")).filter("not __rejected")
-    return found.withColumn("lang", F.col("__lang")).select(*docs.columns)
+    names = tuple(free_name(n, docs) for n in ("_lang", "_score", "_rejected"))
+    found = langid.identify(docs, model, names).filter(~F.col(names[2]))
+    return found.withColumn("lang", F.col(names[0])).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
