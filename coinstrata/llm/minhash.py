@@ -280,20 +280,18 @@ def _across(texts: DataFrame, groups: DataFrame, live: DataFrame, words: int, pe
     signed = kept.save(long_signatures(named, words), "long")
     blocks = live.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     short = groups.select("node", F.transform("bands", lambda b: b.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("bands"))
-    rows = live.select("node", "band", "comp").join(signed.join(short, "node"), "node")
     # buckets without a row in ``many`` are one block
     many = blocks.filter("blocks > 1")
-    rows = join_spread(rows, many, "band", if_any(many.select("band")), F.col("node"), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    rows = join_spread(live, many, "band", if_any(many.select("band")), F.col("node"), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    lists = rows.groupBy("band", "block", "blocks").agg(F.collect_list(F.struct("node", "comp", "bits", "bands")).alias("n"))
-    lists = kept.save(lists, "blocks")
-    left = lists.select("band", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), F.col("n").alias("x"))
-    right = lists.select("band", F.explode(F.sequence(F.lit(0), "block")).alias("i"), F.col("block").alias("j"), F.col("n").alias("y"))
-    met = left.join(right, ["band", "i", "j"]).select("band", "x", "y")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    rows = rows.select("node", "band", "comp", "block", other).select("node", "band", "comp", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    rows = rows.join(signed.join(short, "node"), "node")
+    tiles = rows.repartition("band", "i", "j").groupBy("band", "i", "j")
+    tiles = tiles.agg(F.collect_list(F.struct("node", "comp", "bits", "bands", (F.col("block") == F.col("i")).alias("left"))).alias("n"))
     least = least_agreement(percent / 100, LONG)
 
-    def columns(n: pa.Scalar) -> tuple[np.ndarray, ...]:
-        rows = n.values
+    def columns(rows: pa.StructArray) -> tuple[np.ndarray, ...]:
         bits = np.frombuffer(b"".join(rows.field("bits").to_pylist()), np.uint64).reshape(len(rows), -1)
         bands = rows.field("bands").flatten().to_numpy().reshape(len(rows), -1)
         return rows.field("node").to_numpy(), rows.field("comp").to_numpy(), bits, bands
@@ -302,18 +300,23 @@ def _across(texts: DataFrame, groups: DataFrame, live: DataFrame, words: int, pe
         odd, one = np.uint64(0x5555555555555555), np.uint64(1)
         for batch in batches:
             found = []
-            for band, left, right in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-                (n, c, s, h), (m, d, t, k) = columns(left), columns(right)
-                for i in range(len(n)):
-                    others = np.flatnonzero(d != c[i])
-                    differ = s[i] ^ t[others]
+            for band, i, j, rows in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3)):
+                nodes, comps, bits, bands = columns(rows.values)
+                # one block with itself, or the rows of one block with those of the other
+                own = np.arange(len(nodes)) if i == j else np.flatnonzero(rows.values.field("left").to_numpy(zero_copy_only=False))
+                rest = own if i == j else np.setdiff1d(np.arange(len(nodes)), own)
+                for k, x in enumerate(own):
+                    others = rest[k + 1 :] if i == j else rest
+                    others = others[comps[others] != comps[x]]
+                    differ = bits[x] ^ bits[others]
                     differ = np.bitwise_count((differ | (differ >> one)) & odd).sum(axis=1, dtype=np.int64)
-                    for j in others[LONG - differ >= least]:
-                        if h[i][np.flatnonzero(h[i] == k[j])[0]] == band & 0x7FFFFFFF:
-                            found.append((n[i], m[j], c[i], d[j]) if n[i] < m[j] else (m[j], n[i], d[j], c[i]))
+                    for y in others[LONG - differ >= least]:
+                        if bands[x][np.flatnonzero(bands[x] == bands[y])[0]] == band & 0x7FFFFFFF:
+                            a, b = (x, y) if nodes[x] < nodes[y] else (y, x)
+                            found.append((nodes[a], nodes[b], comps[a], comps[b]))
             yield pa.RecordBatch.from_arrays([pa.array([x[f] for x in found], pa.int64()) for f in range(4)], names=["lo", "hi", "a", "b"])
 
-    return map_in_slices(met, run, "lo long, hi long, a long, b long", 1).distinct()
+    return map_in_slices(tiles, run, "lo long, hi long, a long, b long", 1).distinct()
 
 
 def _unsettled(shared: DataFrame, label: DataFrame, hot: DataFrame | None) -> DataFrame:
