@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,18 @@ from .common import table
 NEAR_DUPLICATE_WORDS, NEAR_DUPLICATE_PERCENT = 2, 80
 
 
+#: Rows in an Arrow batch of these applications: Spark's default of 10000 lets a task hold some 100 MB of texts at a time.
+BATCH_ROWS = 500
+
+
+def configure(spark: SparkSession) -> None:
+    """The setting that the queries and the pipeline, as applications, give their session. Operators set none and work
+    under any; a smaller value that is set already stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -130,7 +143,16 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (op1_mixing, op2_packing, op3_chat, op4_fingerprints, op5_urls, op6_warc, op7_ogg, op8_secrets, op9_language, op10_minhash)
-    return {f.__name__: f for f in named}
+
+    def configured(query: Callable) -> Callable:
+        @wraps(query)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            configure(spark)
+            return query(spark, sf_dir)
+
+        return run
+
+    return {f.__name__: configured(f) for f in named}
 
 
 def _op1_sql(rounds: int = 60, steps: int = 12) -> str:
