@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from coinstrata.llm import langid, minhash, mixing, packing, secrets
 from coinstrata.llm.common import free_name, saved, table
-from coinstrata.llm.queries import tokenizer_path
+from coinstrata.llm.queries import configure, tokenizer_path
 
 #: Share of its input's tokens that the mixing stage draws.
 MIXED_SHARE = 0.7
@@ -16,6 +16,7 @@ SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; ``lang`` becomes the language found."""
+    configure(spark)
     model = langid.train(langid.training_rows(docs, F.lit(True)))
     names = tuple(free_name(n, docs) for n in ("_lang", "_score", "_rejected"))
     found = langid.identify(docs, model, names).filter(~F.col(names[2]))
@@ -24,11 +25,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
+    configure(spark)
     return minhash.drop_near_duplicates(docs, SHINGLE_WORDS, SIMILAR_PERCENT)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets replaced by their kinds."""
+    configure(spark)
     return secrets.redact(docs)
 
 
@@ -39,6 +42,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The places of all documents' pieces in training sequences."""
+    configure(spark)
     return packing.pack_documents(docs, tokenizer_path())
 
 
