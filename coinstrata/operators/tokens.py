@@ -139,6 +139,67 @@ def validate_lineage(outputs: DataFrame, spends: DataFrame, genesis: DataFrame,
     return done.withColumn("reason", reason).select(*outputs.columns, "status", "reason")
 
 
+def resolve_tokens(inputs: DataFrame, *sources: DataFrame) -> DataFrame:
+    """Inputs (prev_tx_id, prev_vout, spend_tx_id) with the token columns of the output that they consume and its source.
+
+    An outpoint is looked up in all ``sources`` (token outputs, or listings) at once and the first that knows it counts:
+    confirmed outputs, else unconfirmed ones, else unconfirmed listings. Inputs that none knows are not token inputs.
+    """
+    shared = [c for c in sources[0].columns if all(c in s.columns for s in sources) and c not in ("tx_id", "vout")]
+    known = None
+    for k, s in enumerate(sources):
+        rows = s.select(F.col("tx_id").alias("prev_tx_id"), F.col("vout").alias("prev_vout"), F.struct(F.lit(k).alias("source"), *shared).alias("o"))
+        known = rows if known is None else known.unionByName(rows)
+    asked = inputs.select("prev_tx_id", "prev_vout", F.col("spend_tx_id").alias("used_tx_id")).distinct()
+    # only the matches are grouped, not the history of outputs
+    first = F.min("o").alias("o")
+    return asked.join(known, ["prev_tx_id", "prev_vout"]).groupBy("prev_tx_id", "prev_vout", "used_tx_id").agg(first).select("prev_tx_id", "prev_vout", "used_tx_id", "o.*")
+
+
+def token_spends(inputs: DataFrame, outputs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Spends of fungible tokens and of their helper contracts that the inputs of blocks make."""
+    rows = resolve_tokens(inputs, outputs).drop("source")
+    return of_type(rows, "ft"), of_type(rows, "unique")
+
+
+def nft_spends(inputs: DataFrame, outputs: DataFrame, listings: DataFrame) -> dict[str, DataFrame]:
+    """Spends of NFT outputs by owner and by token, and of listings by seller and by token."""
+    own, sold = resolve_tokens(inputs, outputs), resolve_tokens(inputs, listings)
+    point, token = ("prev_tx_id", "prev_vout", "used_tx_id"), (*TOKEN, "token_index")
+    return {
+        "by_address": own.select("address", *token, *point),
+        "by_token": own.select(*token, "address", *point),
+        "sell_by_address": sold.select("seller", *token, "price", *point),
+        "sell_by_token": sold.select(*token, "seller", "price", *point),
+    }
+
+
+def apply_unconfirmed(ledger: TokenLedger, outputs: DataFrame, inputs: DataFrame, listings: DataFrame | None = None) -> TokenLedger:
+    """``ledger`` with the decoded token outputs of new unconfirmed transactions and the spends that their inputs make.
+
+    Parents are looked up in the confirmed outputs, then in the unconfirmed ones, new ones among them, then in
+    unconfirmed listings. Rows that are already there are not added again, so a batch may run twice.
+    """
+    point = ["prev_tx_id", "prev_vout"]
+    fresh = outputs.join(ledger.mempool_outputs.select("tx_id", "vout"), ["tx_id", "vout"], "left_anti").dropDuplicates(["tx_id", "vout"])
+    waiting = ledger.mempool_outputs.unionByName(fresh, allowMissingColumns=True)
+    found = resolve_tokens(inputs, ledger.outputs, waiting, *([] if listings is None else [listings])).drop("source")
+    found = found.join(ledger.mempool_spends.select(*point), point, "left_anti")
+    columns = [c for c in ledger.mempool_spends.columns if c in found.columns]
+    return replace(ledger, mempool_outputs=waiting, mempool_spends=ledger.mempool_spends.unionByName(found.select(*columns), allowMissingColumns=True))
+
+
+def reset_unconfirmed(ledger: TokenLedger, outputs: DataFrame, inputs: DataFrame, listings: DataFrame | None = None) -> TokenLedger:
+    """``ledger`` with all unconfirmed rows replaced by those of a snapshot."""
+    none = replace(ledger, mempool_outputs=ledger.mempool_outputs.limit(0), mempool_spends=ledger.mempool_spends.limit(0))
+    return apply_unconfirmed(none, outputs, inputs, listings)
+
+
+def with_token_outputs(txs: DataFrame, outputs: DataFrame) -> DataFrame:
+    """Transactions that make a token output; the others are dropped."""
+    return txs.join(outputs.select("tx_id").distinct(), "tx_id", "left_semi")
+
+
 def history_events(ledger: TokenLedger) -> DataFrame:
     """address, token, tx_id, direction, time (ms), height, amount: incomes under their own transaction and outcomes
     under the spending one, confirmed and not; spends whose transaction isn't known have none to be listed under."""

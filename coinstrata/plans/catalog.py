@@ -6,7 +6,9 @@ Dust and floor are 200000, as no price in these tables is below the defaults.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from functools import cache
+from hashlib import sha256
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,6 +68,43 @@ def _lineage(s: StarLedger) -> DataFrame:
     return checked.groupBy("status", "reason").agg(F.count("*").alias("n"), F.sum("amount").cast("bigint").alias("amount"))
 
 
+def _checked(s: StarLedger) -> DataFrame:
+    return tokens.validate_lineage(*s.lineage)
+
+
+def _inputs(spends: DataFrame) -> DataFrame:
+    return spends.filter("spend_tx_id is not null").select("prev_tx_id", "prev_vout", "spend_tx_id")
+
+
+def _unconfirmed_tokens(s: StarLedger) -> DataFrame:
+    """Token spends of the unconfirmed transactions, made from their inputs."""
+    empty = replace(s.tokens, mempool_outputs=s.tokens.mempool_outputs.limit(0), mempool_spends=s.tokens.mempool_spends.limit(0))
+    now = tokens.apply_unconfirmed(empty, s.tokens.mempool_outputs, _inputs(s.ledger.mempool_spends))
+    return now.mempool_spends.select("prev_tx_id", "prev_vout", "used_tx_id", "contract_type", "address", *tokens.TOKEN, F.col("amount").cast("bigint").alias("amount"))
+
+
+def _unconfirmed_nfts(s: StarLedger) -> DataFrame:
+    """Where the parents of unconfirmed NFT inputs are found: confirmed (0), unconfirmed (1), or only as listings (2)."""
+    held = s.nfts.mempool_outputs.filter("vout < 6")
+    found = tokens.resolve_tokens(_inputs(s.ledger.mempool_spends), s.nfts.outputs, held, s.sales.mempool_listings)
+    return found.groupBy(*tokens.TOKEN, "source").agg(F.count("*").alias("n"), F.sum("token_index").cast("bigint").alias("indexes"))
+
+
+def _nft_spends(s: StarLedger, kind: str) -> DataFrame:
+    return tokens.nft_spends(_inputs(s.ledger.spends), s.nfts.outputs, s.sales.listings)[kind]
+
+
+def _sizes(s: StarLedger) -> DataFrame:
+    """Sizes of transactions as usual ones have them: 10 bytes, 148 for each input, 34 for each output."""
+    txs = L.explode_transactions(s.raw_blocks)
+    return txs.groupBy("tx_id").agg(F.sum(F.size("inputs") * 148 + F.size("outputs") * 34 + 10).alias("size"))
+
+
+def _fee_rates(s: StarLedger) -> DataFrame:
+    one_block = s.raw_blocks.filter(F.col("height") <= LAST_BLOCK)
+    return explorer.tx_fees(one_block, s.ledger.outputs, _sizes(s)).select("height", "tx_id", "fee_sat", "size", "fee_rate")
+
+
 def _reorg_tables(s: StarLedger) -> tuple[DataFrame, DataFrame]:
     stored = s.blocks.select("height", "block_hash")
     changed = F.when(F.col("height") >= FORK, F.concat(F.lit("x"), "block_hash")).otherwise(F.col("block_hash"))
@@ -132,6 +171,19 @@ QUERIES: dict[str, Callable[[SparkSession, StarLedger], DataFrame]] = {
     "ft_db_address_history": lambda sp, s: ft.ft_db_address_history(s.tokens),
     "ft_used": lambda sp, s: ft.used_by(s.tokens.spends).groupBy("used_tx_id").agg(F.count("*").alias("n"), F.sum("amount").cast("bigint").alias("amount")),
     "ft_lineage_valid": lambda sp, s: _lineage(s),
+    "ft_unchecked": lambda sp, s: ft.unchecked(_checked(s)).select("tx_id", "vout", *tokens.TOKEN, F.col("amount").cast("bigint").alias("amount")),
+    "ft_unchecked_total": lambda sp, s: ft.unchecked_total(_checked(s)),
+    "ft_invalid": lambda sp, s: ft.invalid(_checked(s)).select("tx_id", "vout", *tokens.TOKEN, "reason"),
+    "ft_utxos_of_token": lambda sp, s: ft.ft_utxos(s.tokens, None, *TOKEN),
+    "ft_balance_one": lambda sp, s: ft.ft_balance(s.tokens, ADDRESS),
+    "ft_genesis_rows": lambda sp, s: s.lineage[2].select("tx_id", "vout", *tokens.TOKEN, "height"),
+    "ft_issue_authorities": lambda sp, s: tokens.issue_authorities(*s.with_authorities).select("tx_id", "vout", *tokens.TOKEN, "is_spent"),
+    "ft_spends_resolved": lambda sp, s: tokens.token_spends(_inputs(s.ledger.spends), s.tokens.outputs)[0].select("prev_tx_id", "prev_vout", "used_tx_id", "address", *tokens.TOKEN, F.col("amount").cast("bigint").alias("amount")),
+    "unique_spends_resolved": lambda sp, s: tokens.token_spends(_inputs(s.ledger.spends), s.tokens.outputs)[1].select("prev_tx_id", "prev_vout", "used_tx_id", *tokens.TOKEN, "custom_data"),
+    "ft_mempool_spends": lambda sp, s: _unconfirmed_tokens(s),
+    "nft_mempool_parents": lambda sp, s: _unconfirmed_nfts(s),
+    "nft_spends_by_address": lambda sp, s: _nft_spends(s, "by_address"),
+    "nft_sell_spends_by_address": lambda sp, s: _nft_spends(s, "sell_by_address"),
     "nft_utxos_by_address": lambda sp, s: nft.nft_utxos_by_address(s.nfts),
     "nft_holder_fast": lambda sp, s: nft.nft_holder(s.nfts),
     "nft_utxos_by_token_range": lambda sp, s: nft.nft_utxos_by_token(s.nfts, least=10, most=150),
@@ -147,6 +199,10 @@ QUERIES: dict[str, Callable[[SparkSession, StarLedger], DataFrame]] = {
     "block_list": lambda sp, s: explorer.block_list(s.blocks, LAST_BLOCK, 30),
     "block_tx_page": lambda sp, s: explorer.block_tx_page(s.raw_blocks, BLOCK, 2, 5),
     "block_fees": lambda sp, s: explorer.block_fees(explorer.tx_fees(s.raw_blocks, s.ledger.outputs)),
+    "block_info": lambda sp, s: explorer.block_info(s.blocks, BLOCK),
+    "block_info_by_hash": lambda sp, s: explorer.block_info(s.blocks, sha256(str(BLOCK).encode()).hexdigest()),
+    "block_all_txs": lambda sp, s: explorer.block_all_txs(s.raw_blocks, BLOCK),
+    "fee_rates": lambda sp, s: _fee_rates(s),
     "block_counts": lambda sp, s: ops.block_counts(s.raw_blocks),
     "chain_info": lambda sp, s: explorer.chain_info(s.blocks),
     "miner_tag": lambda sp, s: _miners(s),

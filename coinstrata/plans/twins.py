@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from .catalog import ADDRESS, BLOCK, DUST, FLOOR, FORK, LAST_BLOCK, PRELUDE, TX
+from ..schemas import NOT_MATCHED, NOT_USED
+from .catalog import ADDRESS, BLOCK, DUST, FLOOR, FORK, LAST_BLOCK, PRELUDE, TOKEN, TX
 
 TIME = "strftime({}, '%Y-%m-%d %H:%M:%S')"
 T = TIME.format("t")
@@ -143,6 +144,40 @@ sg AS (
 SELECT address, CAST(sum(a) AS BIGINT) AS balance_sat, CAST(sum(m) AS BIGINT) AS outputs, CAST(sum(s) AS BIGINT) AS spends FROM sg GROUP BY address
 """
 
+OF_TOKEN = f"code_hash = '{TOKEN[0]}' AND genesis = '{TOKEN[1]}'"
+#: The rules of lineage over the genesis rows of the star tables. sid is the outpoint that a token's sensible id names,
+#: 'zero' for a genesis row, null for an id that can't be read.
+LINEAGE = f"""
+, s AS (
+  SELECT code_hash, genesis, arg_min(struct_pack(t := tx_id, v := vout, st := st), struct_pack(h := height, t := CAST(tx_id AS BIGINT), v := vout, st := st)) AS f
+  FROM li WHERE l_discount = 0 GROUP BY 1, 2),
+named AS (
+  SELECT a.*, s.f.t AS gt, s.f.v AS gv, CASE WHEN s.f.t = a.tx_id AND s.f.v = a.vout AND s.f.st = a.st THEN 'zero' ELSE s.f.t || ':' || s.f.v END AS sid
+  FROM outs a LEFT JOIN s USING (code_hash, genesis)),
+u AS (
+  SELECT a.tx_id AS t, a.vout AS v, a.nxt, a.code_hash AS c, a.genesis AS g,
+    CASE WHEN s.f.t = a.tx_id AND s.f.v = a.vout AND s.f.st = a.st THEN 'zero' ELSE coalesce(s.f.t || ':' || s.f.v, 'unread ' || a.code_hash || a.genesis) END AS sid
+  FROM gone a LEFT JOIN s USING (code_hash, genesis) WHERE a.nxt IS NOT NULL),
+z AS (SELECT tx_id || ':' || vout AS point FROM named o WHERE sid = 'zero'),
+made AS (
+  SELECT DISTINCT u.t || ':' || u.v AS point, o.vout, o.code_hash, o.genesis, coalesce(o.sid, 'unread ' || o.code_hash || o.genesis) AS sid, o.l_tax = 0 AS authority
+  FROM u JOIN z ON z.point = u.t || ':' || u.v JOIN named o ON o.tx_id = u.nxt),
+pairs AS (
+  SELECT o.tx_id, o.vout, u.t IS NOT NULL AS used, coalesce(u.c = o.code_hash AND u.g = o.genesis AND u.sid = coalesce(o.sid, 'unread ' || o.code_hash || o.genesis), FALSE) AS a,
+    coalesce(u.c = k.tok.c AND u.g = k.tok.g AND u.sid = k.last, FALSE) AS b, coalesce(u.c = k.auth.c AND u.g = k.auth.g AND u.sid = k.last, FALSE) AS c,
+    coalesce(o.sid <> 'zero' AND u.t = o.gt, FALSE) AS d
+  FROM named o LEFT JOIN u ON u.nxt = o.tx_id LEFT JOIN LATERAL (
+    SELECT max_by(struct_pack(c := m.code_hash, g := m.genesis), m.vout) FILTER (m.code_hash = o.code_hash) AS tok, max_by(struct_pack(c := m.code_hash, g := m.genesis), m.vout) FILTER (m.authority) AS auth,
+      max_by(m.sid, m.vout) FILTER (m.code_hash = o.code_hash OR m.authority) AS last
+    FROM made m WHERE m.point = o.sid) k ON TRUE),
+folded AS (SELECT tx_id, vout, bool_or(used) AS used, bool_or(a) AS a, bool_or(b) AS b, bool_or(c) AS c, bool_or(d) AS d FROM pairs GROUP BY 1, 2),
+w AS (
+  SELECT o.tx_id, o.vout, o.code_hash, o.genesis, amount, CASE WHEN NOT used THEN 'invalid' WHEN sid = 'zero' THEN 'valid' WHEN sid IS NULL OR sid NOT IN (SELECT point FROM z) THEN 'pending'
+    WHEN a OR b OR c OR d THEN 'valid' ELSE 'invalid' END AS status, used, a, b, c, d
+  FROM named o JOIN folded USING (tx_id, vout)),
+v AS (SELECT *, CASE WHEN NOT used THEN '{NOT_USED}' WHEN status = 'invalid' THEN '{NOT_MATCHED}' END AS reason FROM w)
+"""
+
 BODIES = {
     "balance_all": BALANCE,
     "balance_one": BALANCE + f" WHERE address = '{ADDRESS}'",
@@ -159,7 +194,7 @@ WHERE amount_sat > {FLOOR} AND {ANTI.format('mouts', 'a')} AND {ANTI.format('gon
     "history_utxo_events": EVENTS + f""" SELECT address, tx_id, vout AS "index", amount, kind AS type, {T} AS time, mem AS is_mempool FROM ev""",
     "check_outpoints": f"""
 , asked AS (
-  SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS tx_id, l_linenumber AS vout FROM lineitem WHERE l_orderkey % 11 = 0 UNION ALL SELECT '0', 99)
+  SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS tx_id, l_linenumber AS vout FROM lineitem UNION ALL SELECT '0', 99)
 SELECT q.tx_id || ':' || q.vout AS outpoint, (c.tx_id IS NOT NULL OR m.tx_id IS NOT NULL) AS is_exist,
   CASE WHEN c.tx_id IS NOT NULL THEN 'block' WHEN m.tx_id IS NOT NULL THEN 'mempool' END AS "where", c.tx_id IS NOT NULL AS tx_confirm,
   coalesce(c.address, m.address) AS address, coalesce(c.amount_sat, m.amount_sat, 0) AS value, {TIME.format('coalesce(c.t, m.t)')} AS time,
@@ -207,11 +242,39 @@ QUALIFY row_number() OVER (PARTITION BY code_hash, genesis, tx_id, direction ORD
     "ft_burn_list": LISTED.format(test=BURNT) + " SELECT * FROM once ORDER BY code_hash || '@' || genesis || '@' || tx_id || '@' || vout LIMIT 50 OFFSET 20",
     "ft_db_address_history": EV + f" SELECT address, code_hash, genesis, tx_id, direction, time, height FROM ev WHERE height >= 0 {FIRST_EVENT}",
     "ft_used": " SELECT nxt AS used_tx_id, count(*) AS n, CAST(sum(amount) AS BIGINT) AS amount FROM gone WHERE nxt IS NOT NULL GROUP BY 1",
-    "ft_lineage_valid": """
-, v AS (
-  SELECT amount, EXISTS (SELECT 1 FROM gone g WHERE g.nxt = a.tx_id) AS used FROM outs a)
-SELECT CASE WHEN used THEN 'pending' ELSE 'invalid' END AS status, CASE WHEN NOT used THEN 'not_used-usedFtIncomeStore_not_found' END AS reason,
-  count(*) AS n, CAST(sum(amount) AS BIGINT) AS amount FROM v GROUP BY 1, 2""",
+    "ft_lineage_valid": LINEAGE + " SELECT status, reason, count(*) AS n, CAST(sum(amount) AS BIGINT) AS amount FROM v GROUP BY 1, 2",
+    "ft_unchecked": LINEAGE + " SELECT lpad(tx_id, 64, '0') AS tx_id, vout, code_hash, genesis, amount FROM v WHERE status = 'pending'",
+    "ft_unchecked_total": LINEAGE + " SELECT count(*) AS total FROM v WHERE status = 'pending'",
+    "ft_invalid": LINEAGE + " SELECT lpad(tx_id, 64, '0') AS tx_id, vout, code_hash, genesis, reason FROM v WHERE status = 'invalid'",
+    # rows of other tokens are no rows for this question, in outputs and spends alike
+    "ft_utxos_of_token": f"""
+, tg AS (SELECT tx_id, vout FROM gone WHERE {OF_TOKEN} UNION ALL SELECT tx_id, vout FROM mgone WHERE {OF_TOKEN}),
+both_ AS (SELECT * FROM outs WHERE {OF_TOKEN} UNION ALL SELECT * REPLACE (-1 AS height) FROM mouts WHERE {OF_TOKEN})
+SELECT address, code_hash, genesis, tx_id, vout, amount, amount_sat AS value_sat, height, code_hash || '/' || genesis AS sensible_id, genesis AS name,
+  code_hash AS symbol, 8 AS decimals, tx_id || '_' || vout AS flag FROM both_ a WHERE contract_type = 'ft' AND {ANTI.format('tg', 'a')} {ONE}""",
+    "ft_balance_one": f"{FT_BALANCE.rstrip()} AND address = '{ADDRESS}'",
+    "ft_genesis_rows": LINEAGE + " SELECT lpad(tx_id, 64, '0') AS tx_id, vout, code_hash, genesis, height FROM named WHERE sid = 'zero'",
+    "ft_issue_authorities": f" SELECT tx_id, vout, code_hash, genesis, {IN.format('gone', 'a')} AS is_spent FROM outs a WHERE l_tax = 0",
+    "ft_spends_resolved": f"""
+SELECT a.tx_id AS prev_tx_id, a.vout AS prev_vout, g.nxt AS used_tx_id, a.address, a.code_hash, a.genesis, a.amount
+FROM gone g JOIN outs a ON a.tx_id = g.tx_id AND a.vout = g.vout WHERE g.nxt IS NOT NULL AND a.contract_type = 'ft'""",
+    "unique_spends_resolved": f"""
+SELECT a.tx_id AS prev_tx_id, a.vout AS prev_vout, g.nxt AS used_tx_id, a.code_hash, a.genesis, CAST(a.l_partkey AS VARCHAR) AS custom_data
+FROM gone g JOIN outs a ON a.tx_id = g.tx_id AND a.vout = g.vout WHERE g.nxt IS NOT NULL AND a.contract_type = 'unique'""",
+    "ft_mempool_spends": f"""
+, known AS (SELECT * FROM outs UNION ALL SELECT * FROM mouts a WHERE {ANTI.format('outs', 'a')})
+SELECT a.tx_id AS prev_tx_id, a.vout AS prev_vout, g.nxt AS used_tx_id, a.contract_type, a.address, a.code_hash, a.genesis, a.amount
+FROM mgone g JOIN known a ON a.tx_id = g.tx_id AND a.vout = g.vout WHERE g.nxt IS NOT NULL""",
+    "nft_mempool_parents": f"""
+, known AS (SELECT *, 0 AS source FROM outs UNION ALL SELECT *, CASE WHEN vout < 6 THEN 1 ELSE 2 END FROM mouts a WHERE {ANTI.format('outs', 'a')})
+SELECT a.code_hash, a.genesis, a.source, count(*) AS n, CAST(sum(a.l_partkey) AS BIGINT) AS indexes
+FROM mgone g JOIN known a ON a.tx_id = g.tx_id AND a.vout = g.vout WHERE g.nxt IS NOT NULL GROUP BY 1, 2, 3""",
+    "nft_spends_by_address": """
+SELECT CAST(a.l_suppkey AS VARCHAR) AS address, a.code_hash, a.genesis, CAST(a.l_partkey AS DECIMAL(20,0)) AS token_index, a.tx_id AS prev_tx_id, a.vout AS prev_vout, g.nxt AS used_tx_id
+FROM gone g JOIN outs a ON a.tx_id = g.tx_id AND a.vout = g.vout WHERE g.nxt IS NOT NULL""",
+    "nft_sell_spends_by_address": """
+SELECT a.address AS seller, a.code_hash, a.genesis, CAST(a.l_partkey AS DECIMAL(20,0)) AS token_index, CAST(a.amount_sat AS DECIMAL(20,0)) AS price, a.tx_id AS prev_tx_id, a.vout AS prev_vout, g.nxt AS used_tx_id
+FROM gone g JOIN outs a ON a.tx_id = g.tx_id AND a.vout = g.vout WHERE g.nxt IS NOT NULL AND a.vout >= 6""",
     "nft_utxos_by_address": NFT_LIVE + " SELECT * EXCLUDE (l_partkey) FROM nl",
     "nft_holder_fast": HOLDER + " SELECT * EXCLUDE (l_partkey) FROM hold",
     "nft_utxos_by_token_range": NFT_LIVE + " SELECT * EXCLUDE (l_partkey) FROM nl WHERE l_partkey BETWEEN 10 AND 150",
@@ -238,6 +301,18 @@ SELECT * FROM y WHERE tx_pos BETWEEN 2 AND 6""",
 , ins AS (SELECT g.nxt AS tx_id, sum(o2.amount_sat) AS a FROM gone g JOIN outs o2 ON o2.tx_id = g.tx_id AND o2.vout = g.vout WHERE g.nxt IS NOT NULL GROUP BY 1),
 x AS (SELECT height, tx_id, sum(amount_sat) AS a FROM outs GROUP BY 1, 2)
 SELECT height, CAST(sum(coalesce(ins.a, 0) - x.a) AS BIGINT) AS fees_sat, count(*) AS tx_count FROM x LEFT JOIN ins USING (tx_id) GROUP BY height""",
+    "block_info": BLOCKS + f" SELECT * FROM blk WHERE height = {BLOCK}",
+    "block_info_by_hash": BLOCKS + f" SELECT * FROM blk WHERE block_hash = sha256('{BLOCK}')",
+    "block_all_txs": f"""
+, x AS (SELECT DISTINCT height, tx_id FROM outs WHERE height = {BLOCK})
+SELECT height, CAST(row_number() OVER (ORDER BY tx_id) - 1 AS INTEGER) AS tx_pos, tx_id FROM x""",
+    "fee_rates": f"""
+, ins AS (SELECT g.nxt AS tx_id, count(*) AS c, count(o2.tx_id) AS k, coalesce(sum(o2.amount_sat), 0) AS a
+  FROM gone g LEFT JOIN outs o2 ON o2.tx_id = g.tx_id AND o2.vout = g.vout WHERE g.nxt IS NOT NULL GROUP BY 1),
+x AS (SELECT height, tx_id, sum(amount_sat) AS a, count(*) AS n FROM outs GROUP BY 1, 2),
+z AS (SELECT tx_id, CAST(sum(coalesce(c, 0) * 148 + n * 34 + 10) AS BIGINT) AS size FROM x LEFT JOIN ins USING (tx_id) GROUP BY 1)
+SELECT height, tx_id, CAST(coalesce(ins.a, 0) - x.a AS BIGINT) AS fee_sat, size, CAST(trunc((coalesce(ins.a, 0) - x.a) / size) AS BIGINT) AS fee_rate
+FROM x LEFT JOIN ins USING (tx_id) JOIN z USING (tx_id) WHERE height <= {LAST_BLOCK}""",
     "block_counts": """
 , ins AS (SELECT nxt AS tx_id, count(*) AS n FROM gone WHERE nxt IS NOT NULL GROUP BY 1), x AS (SELECT DISTINCT height, tx_id FROM outs),
 i AS (SELECT height, count(*) AS tx_count, CAST(sum(coalesce(n, 0)) AS BIGINT) AS inputs FROM x LEFT JOIN ins USING (tx_id) GROUP BY 1)

@@ -140,8 +140,18 @@ class StarLedger:
         gone = named(self._with_tokens(self._spent("R")), "prev_tx_id", "prev_vout").withColumn("used_tx_id", padded("spend_tx_id"))
         outputs = made.select(*self.tokens.outputs.columns)
         spends = gone.select(*self.tokens.spends.columns)
-        with_authorities = made.withColumn("amount", F.when(F.col("l_tax") == 0, F.lit(0)).otherwise(F.col("amount")).cast("decimal(20,0)")).select(*outputs.columns)
-        return outputs, spends, genesis_rows(outputs), genesis_outputs(with_authorities, spends)
+        return outputs, spends, genesis_rows(outputs), genesis_outputs(self._untaxed(made).select(*outputs.columns), spends)
+
+    @staticmethod
+    def _untaxed(made: DataFrame) -> DataFrame:
+        """Lines without tax carry the right to issue: their amount is 0."""
+        return made.withColumn("amount", F.when(F.col("l_tax") == 0, F.lit(0)).otherwise(F.col("amount")).cast("decimal(20,0)"))
+
+    @property
+    def with_authorities(self) -> tuple[DataFrame, DataFrame]:
+        """Token outputs with authorities among them, and the confirmed spends."""
+        made = self._untaxed(self._with_tokens(self.lines.filter("l_linestatus = 'F'")))
+        return made.select(*self.tokens.outputs.columns), self.tokens.spends
 
     def _nft(self, rows: DataFrame) -> DataFrame:
         return self._with_tokens(rows).withColumns(
