@@ -112,11 +112,11 @@ def parts_for(n_rows: int, rows_per_part: int) -> int:
 BITMAP = 1 << 23
 
 
-def split_by_keys(rows: DataFrame, column: Column, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows whose ``column`` may be in the single column of ``keys``, and rows where it surely is not.
+def flag_keys(rows: DataFrame, column: Column, keys: DataFrame, name: str) -> DataFrame:
+    """``rows`` with a boolean column ``name``: true where ``column`` may be in the single column of ``keys``, false where
+    it surely is not. Equal values get equal answers, null among them.
 
-    A bitmap of hashes, of fixed size, is broadcast, so that wide rows are not shuffled to meet the few keys. The
-    first part still needs an exact join. Null is a key like another.
+    A bitmap of hashes, of fixed size, is broadcast, so that wide rows are not shuffled to meet the few keys.
     """
     word, bits = free_name("_word", rows), free_name("_bits", rows)
     bit = lambda c: F.pmod(F.xxhash64(c), F.lit(BITMAP))
@@ -126,7 +126,15 @@ def split_by_keys(rows: DataFrame, column: Column, keys: DataFrame) -> tuple[Dat
     words = keys.groupBy(place(own).alias(word)).agg(F.bit_or(mask(own)).alias(bits))
     joined = rows.join(F.broadcast(words), place(column) == F.col(word), "left")
     inside = F.coalesce(F.col(bits).bitwiseAND(mask(column)) != 0, F.lit(False))
-    return joined.filter(inside).drop(word, bits), joined.filter(~inside).drop(word, bits)
+    return joined.withColumn(name, inside).drop(word, bits)
+
+
+def split_by_keys(rows: DataFrame, column: Column, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows whose ``column`` may be in the single column of ``keys``, and rows where it surely is not. The first part
+    still needs an exact join. Null is a key like another."""
+    flag = free_name("_inside", rows)
+    flagged = flag_keys(rows, column, keys, flag)
+    return flagged.filter(F.col(flag)).drop(flag), flagged.filter(~F.col(flag)).drop(flag)
 
 
 #: Shares that the rows of a hot key are dealt to by ``join_spread``.
@@ -143,9 +151,9 @@ def join_spread(rows: DataFrame, few: DataFrame, key: str, hot: DataFrame | None
     of ``by`` to SHARES tasks. ``few`` has a few rows for each key, which are repeated in each share if the key is hot."""
     if hot is None:
         return rows.join(few, key, how)
-    share = free_name("_share", rows, few)
-    warm, rest = split_by_keys(rows, F.col(key), hot)
-    of_warm, of_rest = split_by_keys(few, F.col(key), hot)
-    dealt = warm.withColumn(share, F.pmod(F.xxhash64(by), F.lit(SHARES)).cast("int"))
-    copies = of_warm.withColumn(share, F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
-    return rest.join(of_rest, key, how).unionByName(dealt.join(copies, [key, share], how).drop(share))
+    share, inside = free_name("_share", rows, few), free_name("_inside", rows, few)
+    drawn = F.when(F.col(inside), F.pmod(F.xxhash64(by), F.lit(SHARES))).otherwise(0).cast("int")
+    last = F.when(F.col(inside), SHARES - 1).otherwise(0)
+    dealt = flag_keys(rows, F.col(key), hot, inside).withColumn(share, drawn).drop(inside)
+    copies = flag_keys(few, F.col(key), hot, inside).withColumn(share, F.explode(F.sequence(F.lit(0), last))).drop(inside)
+    return dealt.join(copies, [key, share], how).drop(share)

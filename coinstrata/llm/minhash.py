@@ -343,7 +343,7 @@ def _confirm(pairs: DataFrame, sig: DataFrame | None, sets: Callable[[DataFrame]
     extra = [c for c in pairs.columns if c not in ("lo", "hi")]
 
     busy = pairs.select(F.explode(F.array("lo", "hi")).alias("node")).groupBy("node").count().filter(F.col("count") > HOT).select("node")
-    busy = if_any(busy)
+    busy = if_any(kept.save(busy, "busy"))
 
     def attach(rows: DataFrame, few: DataFrame, key: str, name: str, by: str) -> DataFrame:
         return join_spread(rows, few.toDF(key, name), key, busy, F.col(by))
