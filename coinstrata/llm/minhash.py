@@ -5,7 +5,8 @@ propose candidates; the packed low bits of the minima estimate the similarity, c
 of bits, by counting bits; links are confirmed on the full sets. Equal sets are one node from the start, and a
 bucket of n nodes is first compared with one hub, then with others, rather than with itself, so that large groups of
 copies cost n comparisons; what is left in different components of one bucket is compared in full, by long signatures
-in blocks that are dealt pair by pair, so no link is given up to save work and no bucket is one task's.
+and then whole sets in blocks that are dealt pair by pair, so no link is given up to save work and no bucket is one
+task's; such a task gives at most one link for each component that it joins to another, not all pairs.
 
 Defined results: words are runs of bytes other than ASCII white space, with A-Z lower-cased; a document of fewer
 words than a shingle is one shingle; a null text or one without words has the empty set and no links; rows that
@@ -38,8 +39,9 @@ LANES = BITS * SIGNED // 64
 ERROR = 0.008
 AGREE = 2.0**-BITS + (1 - 2.0**-BITS) * 0.8
 LONG = 64 // BITS * ceil(AGREE * (1 - AGREE) / ((1 - 2.0**-BITS) * ERROR) ** 2 * BITS / 64)
-#: Nodes in a block of a bucket (about 1 kB each), and rows from which a key counts as hot and is dealt to many tasks.
-BLOCK, HOT = 2048, 1000
+#: Nodes of NODE bytes in a block of a bucket, where nodes with larger sets count as more and with smaller ones as less
+#: (SIGNS bytes are for all but the set); rows from which a key counts as hot and is dealt to many tasks.
+BLOCK, NODE, SIGNS, HOT = 2048, 4096, 1024, 1000
 #: Standard errors by which an estimate may fall short of the threshold before a candidate is given up.
 SLACK = 5.0
 FEWER, CACHED_WORDS, CHUNK = 0x9E3779B97F4A7C15, 100_000, 512
@@ -244,7 +246,7 @@ def _linked(texts: DataFrame, groups: DataFrame, same_id: DataFrame | None, word
             pairs = met.select(F.col("h.node").alias("lo"), F.col("node").alias("hi"), F.col("h.comp").alias("a"), F.col("comp").alias("b")).distinct()
             more = _confirm(kept.save(pairs, "pairs"), sig, sets, percent, kept)
         else:
-            more = _confirm(kept.save(_across(texts, groups, live, words, percent, kept), "pairs"), None, sets, percent, kept)
+            more = kept.save(_across(texts, groups, live, words, percent, kept), "links")
         merged = if_any(components(more.select("a", "b")))
         if merged is None:
             continue
@@ -257,28 +259,34 @@ def _linked(texts: DataFrame, groups: DataFrame, same_id: DataFrame | None, word
 
 
 def long_signatures(texts: DataFrame, words: int) -> DataFrame:
-    """node, bits: the low BITS bits of LONG minima, packed, for the few documents that need close estimates."""
+    """node, bits (the low BITS bits of LONG minima, packed), set (the whole one) and bytes, for the few documents that
+    need close estimates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, (a, b) = WordHashes(), _functions(LONG)
         for batch in batches:
-            made = [pack_bits(minima(shingle_set(t.as_py(), words, hashes), a, b), LONG).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["node", "bits"])
+            sets = [shingle_set(t.as_py(), words, hashes) for t in batch.column(1)]
+            bits = [pack_bits(minima(s, a, b), LONG).tobytes() for s in sets]
+            arrays = [pa.array(bits, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([SIGNS + s.nbytes for s in sets], pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=["node", "bits", "set", "bytes"])
 
-    return map_in_slices(texts, run, "node long, bits binary")
+    return map_in_slices(texts, run, "node long, bits binary, set binary, bytes long", 200)
 
 
 def _across(texts: DataFrame, groups: DataFrame, live: DataFrame, words: int, percent: int, kept: Scratch) -> DataFrame:
-    """lo, hi, a, b: the pairs of nodes that share a bucket but no component (a, b) and whose long signatures are close.
+    """lo, hi, a, b: links between nodes that share a bucket but no component (a, b), enough to join all components
+    that links join.
 
-    Buckets are cut into blocks of about BLOCK nodes. Each pair of blocks of a bucket is a key of its own, so that a
-    large bucket is spread over all tasks; a task compares two blocks at a time and gives only the pairs that pass,
-    each in the first bucket that its nodes share.
+    Buckets are cut into blocks of about BLOCK * NODE bytes. Each pair of blocks of a bucket is a key of its own, so that a
+    large bucket is spread over all tasks. A task compares two blocks at a time: pairs with close long signatures, each
+    in the first bucket that its nodes share, by their whole sets. Nodes that the task has joined by links are not
+    compared again, so it gives fewer links than its blocks have nodes.
     """
     ids = live.select("node").distinct()
     named = _texts_of(texts, groups.select("node", "doc_id", "text_hash").join(ids, "node", "left_semi"))
     signed = kept.save(long_signatures(named, words), "long")
-    blocks = live.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    sized = live.join(signed.select("node", "bytes"), "node")
+    blocks = sized.groupBy("band").agg(F.ceil(F.sum("bytes") / (BLOCK * NODE)).cast("int").alias("blocks"))
     short = groups.select("node", F.transform("bands", lambda b: b.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("bands"))
     # buckets without a row in ``many`` are one block
     many = blocks.filter("blocks > 1")
@@ -286,11 +294,17 @@ def _across(texts: DataFrame, groups: DataFrame, live: DataFrame, words: int, pe
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     rows = rows.select("node", "band", "comp", "block", other).select("node", "band", "comp", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    rows = rows.join(signed.join(short, "node"), "node")
+    rows = rows.join(signed.drop("bytes").join(short, "node"), "node")
     tiles = rows.repartition("band", "i", "j").groupBy("band", "i", "j")
-    tiles = tiles.agg(F.collect_list(F.struct("node", "comp", "bits", "bands", (F.col("block") == F.col("i")).alias("left"))).alias("n"))
+    tiles = tiles.agg(F.collect_list(F.struct("node", "comp", "bits", "bands", "set", (F.col("block") == F.col("i")).alias("left"))).alias("n"))
     least = least_agreement(percent / 100, LONG)
 
+    def linked(x: np.ndarray, y: np.ndarray) -> bool:
+        if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+            return False
+        same = len(np.intersect1d(x, y, assume_unique=True))
+        return 100 * same >= percent * (len(x) + len(y) - same)
+
     def columns(rows: pa.StructArray) -> tuple[np.ndarray, ...]:
         bits = np.frombuffer(b"".join(rows.field("bits").to_pylist()), np.uint64).reshape(len(rows), -1)
         bands = rows.field("bands").flatten().to_numpy().reshape(len(rows), -1)
@@ -302,16 +316,20 @@ def _across(texts: DataFrame, groups: DataFrame, live: DataFrame, words: int, pe
             found = []
             for band, i, j, rows in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3)):
                 nodes, comps, bits, bands = columns(rows.values)
+                sets, now = rows.values.field("set"), comps.copy()
+                whole = lambda i: np.frombuffer(sets[int(i)].as_buffer(), np.uint64)
                 # one block with itself, or the rows of one block with those of the other
                 own = np.arange(len(nodes)) if i == j else np.flatnonzero(rows.values.field("left").to_numpy(zero_copy_only=False))
                 rest = own if i == j else np.setdiff1d(np.arange(len(nodes)), own)
                 for k, x in enumerate(own):
                     others = rest[k + 1 :] if i == j else rest
-                    others = others[comps[others] != comps[x]]
+                    others = others[now[others] != now[x]]
                     differ = bits[x] ^ bits[others]
                     differ = np.bitwise_count((differ | (differ >> one)) & odd).sum(axis=1, dtype=np.int64)
                     for y in others[LONG - differ >= least]:
-                        if bands[x][np.flatnonzero(bands[x] == bands[y])[0]] == band & 0x7FFFFFFF:
+                        first = bands[x][np.flatnonzero(bands[x] == bands[y])[0]]
+                        if now[x] != now[y] and first == band & 0x7FFFFFFF and linked(whole(x), whole(y)):
+                            now[now == now[y]] = now[x]
                             a, b = (x, y) if nodes[x] < nodes[y] else (y, x)
                             found.append((nodes[a], nodes[b], comps[a], comps[b]))
             yield pa.RecordBatch.from_arrays([pa.array([x[f] for x in found], pa.int64()) for f in range(4)], names=["lo", "hi", "a", "b"])
@@ -337,7 +355,7 @@ def _sets_of(texts: DataFrame, groups: DataFrame, ids: DataFrame, words: int) ->
     return shingle_sets(_texts_of(texts, groups.select("node", "doc_id", "text_hash").join(ids, "node", "left_semi")), words)
 
 
-def _confirm(pairs: DataFrame, sig: DataFrame | None, sets: Callable[[DataFrame], DataFrame], percent: int, kept: Scratch) -> DataFrame:
+def _confirm(pairs: DataFrame, sig: DataFrame, sets: Callable[[DataFrame], DataFrame], percent: int, kept: Scratch) -> DataFrame:
     """Of candidate pairs (lo, hi and other columns) those whose whole sets reach the threshold; the estimate rules out
     most others. Pairs of a node that is in many are dealt to several tasks, each with a copy of its set."""
     extra = [c for c in pairs.columns if c not in ("lo", "hi")]
@@ -348,10 +366,8 @@ def _confirm(pairs: DataFrame, sig: DataFrame | None, sets: Callable[[DataFrame]
     def attach(rows: DataFrame, few: DataFrame, key: str, name: str, by: str) -> DataFrame:
         return join_spread(rows, few.toDF(key, name), key, busy, F.col(by))
 
-    close = pairs
-    if sig is not None:
-        both = attach(attach(close, sig, "lo", "s", "hi"), sig, "hi", "t", "lo")
-        close = both.filter(agreeing(F.col("s"), F.col("t")) >= least_agreement(percent / 100))
+    both = attach(attach(pairs, sig, "lo", "s", "hi"), sig, "hi", "t", "lo")
+    close = both.filter(agreeing(F.col("s"), F.col("t")) >= least_agreement(percent / 100))
     close = kept.save(close.select("lo", "hi", *extra), "close")
     needed = close.select(F.col("lo").alias("node")).unionByName(close.select(F.col("hi").alias("node"))).distinct()
     full = kept.save(sets(needed), "sets")
