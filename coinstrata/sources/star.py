@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import reversed_hex
@@ -35,6 +35,16 @@ class StarLedger:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    @property
+    def heights(self) -> Row:
+        """lo, hi: bounds of the blocks' heights; of lines that repeat an outpoint all count."""
+        height = self._height()
+        return self.table("lineitem").filter("l_linestatus = 'F'").agg(F.min(height).alias("lo"), F.max(height).alias("hi")).first()
+
+    @staticmethod
+    def _height() -> Column:
+        return F.datediff(F.col("l_shipdate"), F.lit("1995-01-01").cast("date")).cast("bigint")
+
     @cached_property
     def raw_lines(self) -> DataFrame:
         """Every line with its transaction; outpoints may repeat."""
@@ -42,7 +52,7 @@ class StarLedger:
         orders = self.table("orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("address"), following.cast("string").alias("spend_tx_id"))
         lines = self.table("lineitem").select(
             "l_orderkey", F.col("l_linenumber").cast("int").alias("vout"), F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("amount_sat"),
-            F.col("l_shipdate").alias("block_time"), F.datediff(F.col("l_shipdate"), F.lit("1995-01-01").cast("date")).cast("bigint").alias("height"),
+            F.col("l_shipdate").alias("block_time"), self._height().alias("height"),
             "l_linestatus", "l_returnflag", "l_partkey", "l_suppkey", F.col("l_quantity").cast("bigint").alias("quantity"), "l_discount", "l_tax",
         )
         return lines.join(orders, lines.l_orderkey == orders.o_orderkey).withColumn("tx_id", F.col("l_orderkey").cast("string")).drop("o_orderkey")

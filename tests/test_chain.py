@@ -12,6 +12,7 @@ from coinstrata.functions import chain
 from coinstrata.functions import columns as C
 from coinstrata.plans import base, explorer
 from coinstrata.sources import blocks as B
+from coinstrata.streaming import replay
 from coinstrata.streaming.sync import LedgerStore, follow_blocks, follow_mempool, load_blocks
 
 #: The first block of the oldest chain.
@@ -163,6 +164,30 @@ def test_stream_equals_batch_with_restarts(spark, tmp_path):
     assert back.ledger().outputs.agg(F.max("height")).first()[0] == 19
 
 
+def test_replay_stages_blocks_in_many_tasks_and_in_order(spark, tmp_path):
+    """No task has a whole period of the chain, blocks are made once, and a period's files are one batch."""
+    from types import SimpleNamespace
+
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    blocks = some_blocks(spark, 40).repartition(4, "height").mapInArrow(count, schemas.RAW_BLOCKS)
+    star = SimpleNamespace(spark=spark, raw_blocks=blocks, heights={"lo": 0, "hi": 39})
+    path, ledger, files = f"file://{tmp_path}/in", LedgerStore(spark, f"file://{tmp_path}/ledger"), []
+    for _ in replay.stage_blocks(star, path):
+        files.append(spark.read.parquet(path).select(F.input_file_name()).distinct().count())
+        follow_blocks(B.stream_blocks(spark, path, replay.ALL_FILES), ledger, f"{tmp_path}/checkpoint").awaitTermination()
+    assert made.value == 40
+    assert len(files) == replay.PERIODS and files[-1] > replay.PERIODS
+    outputs, spends = load_blocks(some_blocks(spark, 40))
+    assert sorted(map(tuple, ledger.ledger().outputs.collect())) == sorted(map(tuple, outputs.collect()))
+    assert sorted(map(tuple, ledger.ledger().spends.collect())) == sorted(map(tuple, spends.collect()))
+
+
 def test_mempool_stream_eviction_and_reset(spark, tmp_path):
     ledger = LedgerStore(spark, f"file://{tmp_path}/ledger")
     assert ledger.read("outputs").count() == 0
