@@ -74,7 +74,8 @@ def ft_unique_utxos(tokens: TokenLedger, code_hash: str | None = None, genesis:
     columns = (*TOKEN, "tx_id", "vout", "sensible_id", "custom_data", "value_sat", "height")
     waiting = of_type(t.mempool_outputs, "unique").withColumn("height", F.lit(UNCONFIRMED_HEIGHT).cast("bigint"))
     rows = of_type(t.outputs, "unique").select(*columns).unionByName(waiting.select(*columns))
-    return first_per(unspent(rows, all_spends(t.spends, t.mempool_spends)), ["tx_id", "vout"], [F.col("height") < 0, F.asc("height")])
+    # the rows come from the window in the order that the join needs
+    return unspent(first_per(rows, ["tx_id", "vout"], [F.col("height") < 0, F.asc("height")]), all_spends(t.spends, t.mempool_spends))
 
 
 def ft_info(tokens: TokenLedger, code_hash: str | None = None, genesis: str | None = None) -> DataFrame:
