@@ -160,15 +160,18 @@ def ft_address_history(tokens: TokenLedger, address: str | None, code_hash: str
     """Transactions of an address, newest first; a page is taken of transactions, then each gives one row per token."""
     events = history_events(tokens.where(address, code_hash, genesis))
     amount = lambda d: _sum(F.when(F.col("direction") == d, F.col("amount")))
-    rows = events.groupBy("address", "tx_id", *TOKEN).agg(amount("income").alias("income"), amount("outcome").alias("outcome"))
-    txs = events.groupBy("address", "tx_id").agg(
-        F.coalesce(F.max(F.when(F.col("height") >= 0, F.col("time"))), F.max("time")).alias("time"),
-        F.max("height").alias("height"),
-        F.max(F.col("direction") == "income").alias("is_income"),
-        F.max(F.col("direction") == "outcome").alias("is_outcome"),
+    facts = lambda confirmed, time, height, income, outcome: (
+        F.max(confirmed).alias("confirmed"), F.max(time).alias("time"), F.max(height).alias("height"), F.max(income).alias("is_income"), F.max(outcome).alias("is_outcome"),
+    )
+    # one shuffle by transaction serves both sums; a transaction carries its few tokens along, so that nothing is joined
+    is_ = lambda d: F.col("direction") == d
+    rows = events.repartition("address", "tx_id").groupBy("address", "tx_id", *TOKEN).agg(
+        amount("income").alias("income"), amount("outcome").alias("outcome"), *facts(F.when(F.col("height") >= 0, F.col("time")), "time", "height", is_("income"), is_("outcome"))
     )
+    txs = rows.groupBy("address", "tx_id").agg(*facts("confirmed", "time", "height", "is_income", "is_outcome"), F.collect_list(F.struct(*TOKEN, "income", "outcome")).alias("r"))
+    txs = txs.select("address", "tx_id", F.coalesce("confirmed", "time").alias("time"), "height", "is_income", "is_outcome", "r")
     page = page_for_each(txs, ["address"], tx_order(), 1, size) if address is None else cursor_page(txs, tx_order(), cursor, size, CAP)
-    return page.join(rows, ["address", "tx_id"])
+    return page.select("address", "tx_id", "time", "height", "is_income", "is_outcome", F.explode("r").alias("r")).select("address", "tx_id", "time", "height", "is_income", "is_outcome", "r.*")
 
 
 def ft_genesis_history(tokens: TokenLedger, code_hash: str | None = None, genesis: str | None = None, cursor: int | None = None, size: int = 10) -> DataFrame:
