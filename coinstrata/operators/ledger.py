@@ -56,9 +56,10 @@ def resolve_spends(inputs: DataFrame, outputs: DataFrame, *carry: str) -> DataFr
 
 
 def first_per(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The first row of each key in a total order."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
+    """The first row of each key in a total order: the one that none precedes. (A rank would make Spark sort the rows
+    before the shuffle too, to drop repeated ones early; here almost every row is the only one of its key.)"""
+    earlier = F.lag(F.lit(True)).over(Window.partitionBy(*keys).orderBy(*order))
+    return df.withColumn("_earlier", earlier).filter("_earlier is null").drop("_earlier")
 
 
 def unspent(outputs: DataFrame, spends: DataFrame) -> DataFrame:
