@@ -98,13 +98,13 @@ def validate_lineage(outputs: DataFrame, spends: DataFrame, genesis: DataFrame,
     ``spends`` are consumed token rows with the transaction that consumed them (used_tx_id), ``genesis`` the genesis
     rows and ``made_at_genesis`` what ``genesis_outputs`` gives. An output counts if one consumed row of its own
     transaction has the same lineage, or that of the token or the authority that the genesis transaction made, or
-    comes from the genesis transaction. All four are tested per (output, consumed row) after one equi-join on the
-    transaction and folded by a maximum, so no join has an "or" in its condition.
+    comes from the genesis transaction. All four are tested on the array of the distinct rows that a transaction
+    consumed, so outputs and consumed rows are not multiplied, and no join has an "or" in its condition. Of repeated
+    outpoints one row counts.
     """
     rows = outputs.withColumn("_g", sensible_id_parts(F.col("sensible_id"))).withColumns({"_g_tx": F.col("_g.tx_id"), "_g_vout": F.col("_g.vout")}).drop("_g")
     zero = F.col("sensible_id") == ZERO_SENSIBLE_ID
     started = genesis.select(F.col("tx_id").alias("_g_tx"), F.col("vout").cast("bigint").alias("_g_vout"), F.lit(True).alias("_started")).distinct()
-    rows = rows.join(started, ["_g_tx", "_g_vout"], "left")
     # what the genesis transaction made: the token row and the authority row, the last of each, and the last of both
     made = made_at_genesis.select(
         F.col("prev_tx_id").alias("_g_tx"),
@@ -112,30 +112,31 @@ def validate_lineage(outputs: DataFrame, spends: DataFrame, genesis: DataFrame,
         F.struct("vout", "code_hash", "genesis", "sensible_id", F.col("token_index" if nft else "amount").alias("n")).alias("r"),
     )
     made = made.groupBy("_g_tx", "_g_vout").agg(F.sort_array(F.collect_list("r")).alias("_made"))
-    rows = rows.join(made, ["_g_tx", "_g_vout"], "left")
+    rows = rows.join(started, ["_g_tx", "_g_vout"], "left").join(made, ["_g_tx", "_g_vout"], "left")
     is_token = (lambda r: r["n"] == 0) if nft else (lambda r: r["code_hash"] == F.col("code_hash"))
     is_authority = (lambda r: r["n"] == 1) if nft else (lambda r: r["n"] == 0)
     last = lambda test: F.try_element_at(F.filter("_made", test), F.lit(-1))
-    rows = rows.withColumns({"_token": last(is_token), "_authority": last(is_authority), "_any": last(lambda r: is_token(r) | is_authority(r))}).drop("_made")
-    used = spends.filter("used_tx_id is not null").select(
-        F.col("used_tx_id").alias("tx_id"), F.struct(F.col("code_hash").alias("c"), F.col("genesis").alias("g"), F.col("sensible_id").alias("s"), F.col("prev_tx_id").alias("t")).alias("_u")
+    used = spends.filter("used_tx_id is not null").groupBy(F.col("used_tx_id").alias("tx_id")).agg(
+        F.collect_set(F.struct(F.col("code_hash").alias("c"), F.col("genesis").alias("g"), F.col("sensible_id").alias("s"), F.col("prev_tx_id").alias("t"))).alias("_used")
     )
-    joined = rows.join(used, "tx_id", "left")
-    same = lambda c, g, s: (F.col("_u.c") == c) & (F.col("_u.g") == g) & (F.col("_u.s") == s)
-    match = (
-        F.coalesce(same(F.col("code_hash"), F.col("genesis"), F.col("sensible_id")), F.lit(False))
-        | F.coalesce(same(F.col("_token.code_hash"), F.col("_token.genesis"), F.col("_any.sensible_id")), F.lit(False))
-        | F.coalesce(same(F.col("_authority.code_hash"), F.col("_authority.genesis"), F.col("_any.sensible_id")), F.lit(False))
-        | F.coalesce(F.col("_u.t") == F.col("_g_tx"), F.lit(False))
-    )
-    keep = [c for c in outputs.columns if c not in ("tx_id", "vout")]
-    folded = joined.groupBy("tx_id", "vout").agg(
-        *(F.any_value(c).alias(c) for c in keep), F.max(match).alias("_match"), F.max(F.col("_u").isNotNull()).alias("_used"), F.any_value("_started").alias("_started")
+    # partitioned and sorted as the join needs it
+    earlier = F.lag("vout").over(Window.partitionBy("tx_id").orderBy("vout", "height", "sensible_id"))
+    once = rows.withColumn("_earlier", earlier).filter("_earlier is null or _earlier <> vout").drop("_earlier")
+    joined = once.join(used, "tx_id", "left")
+    joined = joined.withColumns({"_token": last(is_token), "_authority": last(is_authority), "_any": last(lambda r: is_token(r) | is_authority(r))})
+    same = lambda u, c, g, s: F.coalesce((u["c"] == F.col(c)) & (u["g"] == F.col(g)) & (u["s"] == F.col(s)), F.lit(False))
+    match = F.exists(
+        "_used",
+        lambda u: same(u, "code_hash", "genesis", "sensible_id")
+        | same(u, "_token.code_hash", "_token.genesis", "_any.sensible_id")
+        | same(u, "_authority.code_hash", "_authority.genesis", "_any.sensible_id")
+        | F.coalesce(u["t"] == F.col("_g_tx"), F.lit(False)),
     )
     gated = F.lit(False) if last_height is None else F.col("height") > last_height
-    status = F.when(gated, "pending").when(~F.col("_used"), "invalid").when(zero, "valid").when(F.col("_started").isNull(), "pending").when(F.col("_match"), "valid").otherwise("invalid")
-    done = folded.withColumn("status", status)
-    reason = F.when(F.col("status") == "invalid", F.when(F.col("_used"), NOT_MATCHED).otherwise(NOT_USED))
+    unused = F.col("_used").isNull()
+    status = F.when(gated, "pending").when(unused, "invalid").when(zero, "valid").when(F.col("_started").isNull(), "pending").when(match, "valid").otherwise("invalid")
+    done = joined.withColumn("status", status)
+    reason = F.when(F.col("status") == "invalid", F.when(unused, NOT_USED).otherwise(NOT_MATCHED))
     return done.withColumn("reason", reason).select(*outputs.columns, "status", "reason")
 
 
