@@ -13,6 +13,10 @@ from ..operators.paging import CAP, cursor_page, page_for_each
 from ..operators.tokens import TOKEN, TokenLedger, first_events, history_events, issue_authorities
 from ..schemas import UNCONFIRMED_HEIGHT, ZERO_SENSIBLE_ID, ZERO_TXID
 
+#: Tasks that the rows of one token index are dealt to by ``nft_info``.
+SHARES = 8
+
+
 def confirmed_first() -> list[Column]:
     return [F.col("height") < 0, F.asc("height")]
 
@@ -105,14 +109,19 @@ def nft_address_summary(tokens: TokenLedger, address: str | None = None, cursor:
 
 
 def nft_info(outputs: DataFrame, mempool_outputs: DataFrame | None = None, code_hash: str | None = None, genesis: str | None = None, index: int | None = None) -> DataFrame:
-    """Metadata per token index, of confirmed outputs and else of unconfirmed ones."""
+    """Metadata per token index, of confirmed outputs and else of unconfirmed ones.
+
+    The aggregate has to sort its rows, wide ones, before and after its shuffle. They are dealt out before, so that this
+    sort doesn't share the memory of a task with those that made the outputs; the rows of one index go to SHARES tasks.
+    """
     rows = outputs.withColumn("_late", F.lit(0))
     if mempool_outputs is not None:
         rows = rows.unionByName(mempool_outputs.select(*outputs.columns).withColumn("_late", F.lit(1)))
     for name, value in (("code_hash", code_hash), ("genesis", genesis)):
         rows = rows.filter(F.col(name) == value) if value else rows
     first = F.min(F.struct("_late", "height", "tx_id", "vout", "sensible_id", "token_supply", "meta_tx_id", "meta_vout")).alias("f")
-    out = _index_range(rows, index, None, None).groupBy(*TOKEN, "token_index").agg(first)
+    dealt = _index_range(rows, index, None, None).repartition(*TOKEN, "token_index", F.pmod(F.xxhash64("tx_id"), F.lit(SHARES)))
+    out = dealt.groupBy(*TOKEN, "token_index").agg(first)
     return out.select(*TOKEN, "token_index", "f.sensible_id", "f.token_supply", "f.meta_tx_id", "f.meta_vout")
 
 

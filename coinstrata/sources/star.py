@@ -61,7 +61,8 @@ class StarLedger:
     def lines(self) -> DataFrame:
         """The first line of each outpoint, among confirmed and among unconfirmed ones."""
         order = [F.col(c) for c in ("block_time", "amount_sat", "l_partkey", "l_suppkey", "l_returnflag")]
-        return first_per(self.raw_lines, ["l_orderkey", "vout", "l_linestatus"], order)
+        rows = self.raw_lines.drop("tx_id")  # made again from the key, so that the sort doesn't hold it
+        return first_per(rows, ["l_orderkey", "vout", "l_linestatus"], order).withColumn("tx_id", F.col("l_orderkey").cast("string"))
 
     def _spent(self, flag: str) -> DataFrame:
         order = [F.col(c) for c in ("block_time", "amount_sat", "l_partkey", "l_suppkey", "l_linestatus")]

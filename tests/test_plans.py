@@ -1,11 +1,15 @@
 """What tasks hold at a time, as the plans show it: wide rows are sorted, shuffled and multiplied no more than needed."""
 
+import re
+from decimal import Decimal
+
 import pytest
 from pyspark.sql import functions as F
 
 from coinstrata.operators import tokens as K
 from coinstrata.operators.ledger import first_per
-from coinstrata.plans import ft
+from coinstrata.plans import ft, nft
+from coinstrata.sources.star import StarLedger
 
 from .test_tokens import ledger, out, spend
 
@@ -62,3 +66,20 @@ def test_unique_outputs_are_sorted_once_for_window_and_join(small, no_broadcast)
     got = ft.ft_unique_utxos(small)
     # the rows, and the spends that they are held against
     assert plan(got).count("Sort [") == 2
+
+
+def test_nft_info_does_not_sort_in_the_tasks_that_make_its_rows(spark):
+    columns = "tx_id string, vout int, code_hash string, genesis string, sensible_id string, token_index decimal(20,0), token_supply decimal(20,0), meta_tx_id string, meta_vout bigint, height bigint"
+    rows = [(f"t{i}", 0, "c", "g", "c/g", Decimal(i % 2), Decimal(9), f"m{i}", 0, 100 - i) for i in range(50)]
+    late = [("u", 0, "c", "g", "c/g", Decimal(k), Decimal(9), "late", 0, -1) for k in (1, 2)]
+    got = nft.nft_info(spark.createDataFrame(rows, columns), spark.createDataFrame(late, columns))
+    assert sorted((int(r.token_index), r.meta_tx_id) for r in got.collect()) == [(0, "m48"), (1, "m49"), (2, "late")]
+    # from the bottom of the plan up: rows are dealt out, and only then sorted
+    steps = [x for x in re.findall(r"(Sort |Exchange |Union)", plan(got))[::-1]]
+    assert steps[steps.index("Union") + 1 :][:2] == ["Exchange ", "Sort "]
+
+
+def test_tx_ids_are_not_sorted_with_the_lines(spark):
+    got = StarLedger(spark, "/root/testdata/sf0.001").lines
+    below = plan(got.select("tx_id", "height")).split("Window ")[1]
+    assert "tx_id" not in below
