@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -99,6 +100,7 @@ ROWS_AT_A_TIME = 500
 def give_back() -> None:
     """Return what a Python worker has freed to the system. Workers serve many tasks, one after the other, and what
     their allocators hold on to adds up beside the heap of the executor."""
+    gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
     if trim:

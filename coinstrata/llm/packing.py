@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -29,8 +30,8 @@ SEPARATOR = 0
 #: Pieces (or bins) that one best-fit task holds: five numbers each, so about 20 MB.
 ITEMS_PER_TASK = 100_000
 NEARLY_FULL = 0.99
-#: Distinct words, and parts of words, in one of the two tables of each that a worker holds (about 200 MB together).
-CACHED = 300_000
+#: Distinct words, and parts of words, in one of the two tables of each that a worker holds (about 50 MB together).
+CACHED = 100_000
 FLUSH_IDS = 1_000_000
 
 
@@ -58,11 +59,11 @@ def byte_letters() -> dict[int, str]:
 
 
 def settings_of(tokenizer) -> tuple[list, list]:
-    """Normaliser and split of a tokenizer, in the form of KNOWN."""
-    spec = json.loads(tokenizer.to_str())
+    """Normaliser and split of a tokenizer, in the form of KNOWN. Only these two are read, not the vocabulary."""
 
-    def steps(part: dict | None, inner: str) -> list[dict]:
-        return [] if part is None else part[inner] if part["type"] == "Sequence" else [part]
+    def steps(part, inner: str) -> list[dict]:
+        spec = None if part is None else json.loads(part.__getstate__())
+        return [] if spec is None else spec[inner] if spec["type"] == "Sequence" else [spec]
 
     def named(x: dict):
         if x["type"] == "Replace":
@@ -71,7 +72,7 @@ def settings_of(tokenizer) -> tuple[list, list]:
             return "Split", x["pattern"].get("Regex"), x["behavior"], x["invert"]
         return (x["type"], x["add_prefix_space"], x["use_regex"]) if x["type"] == "ByteLevel" else x["type"]
 
-    return [named(x) for x in steps(spec["normalizer"], "normalizers")], [named(x) for x in steps(spec["pre_tokenizer"], "pretokenizers")]
+    return [named(x) for x in steps(tokenizer.normalizer, "normalizers")], [named(x) for x in steps(tokenizer.pre_tokenizer, "pretokenizers")]
 
 
 class Recent(dict):
@@ -84,6 +85,7 @@ class Recent(dict):
         if found is None:
             found = self.make(key)
         if len(self) >= CACHED:
+            self.old = {}  # gone before the copy is made
             self.old = dict(self)
             self.clear()
         self[key] = found
@@ -97,8 +99,9 @@ class PartIds(Recent):
         self.model, self.letters = model, byte_letters()
 
     def make(self, part: str) -> bytes:
-        raw = part.encode().decode("latin-1").translate(self.letters)
-        return np.array([t.id for t in self.model.tokenize(raw)], "<u4").tobytes()
+        raw = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
+        ids = [t.id for t in self.model.tokenize(raw)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
 
 class WordIds(Recent):
@@ -117,6 +120,8 @@ class WordIds(Recent):
         self.known = settings_of(self.tokenizer) == KNOWN
 
     def make(self, word: bytes) -> bytes:
+        if word.isalpha():  # of ASCII alone: one part
+            return self.parts[word.decode()]
         return b"".join(map(self.parts.__getitem__, PARTS.findall(word.decode().lower())))
 
     def ids(self, raw: bytes) -> bytes:
