@@ -4,7 +4,7 @@ Each document's set of word shingles is reduced to minima under ``HASHES`` hash
 propose candidates; the packed low bits of the minima estimate the similarity, corrected for accidental agreement
 of bits, by counting bits; links are confirmed on the full sets. Equal sets are one node from the start, and a
 bucket of n nodes is first compared with one hub, then with others, rather than with itself, so that large groups of
-copies cost n comparisons; what is left in different components of one bucket is compared in full, by long signatures
+copies cost n comparisons; a hub that has met its bucket leaves it, so no pair is compared again there; what is left in different components of one bucket is compared in full, by long signatures
 and then whole sets in blocks that are dealt pair by pair, so no link is given up to save work and no bucket is one
 task's; such a task gives at most one link for each component that it joins to another, not all pairs.
 
@@ -234,16 +234,19 @@ def _linked(texts: DataFrame, groups: DataFrame, same_id: DataFrame | None, word
     edges = found.select(F.col("lo").alias("a"), F.col("hi").alias("b"))
     label = components(edges if same_id is None else edges.unionByName(same_id))
 
+    # a hub has met all of its bucket that it isn't joined with, so only the others still have to meet there
+    left = shared.filter("node <> hub")
     for turn in (1, 2, 3):
-        live = kept.save(_unsettled(shared, label, hot), f"live-{turn}")
+        live = kept.save(_unsettled(left, label, hot), f"live-{turn}")
         if live.isEmpty():
             break
         if turn < 3:
             # another hub, drawn anew in each bucket, for the nodes of its other components
             order = F.xxhash64("node", "band", F.lit(turn))
             drawn = live.groupBy("band").agg(F.min_by(F.struct("node", "comp"), order).alias("h"))
-            met = join_spread(live, drawn, "band", hot, F.col("node")).filter("comp <> h.comp")
-            pairs = met.select(F.col("h.node").alias("lo"), F.col("node").alias("hi"), F.col("h.comp").alias("a"), F.col("comp").alias("b")).distinct()
+            met = kept.save(join_spread(live, drawn, "band", hot, F.col("node")).filter("node <> h.node"), f"met-{turn}")
+            left = met
+            pairs = met.filter("comp <> h.comp").select(F.col("h.node").alias("lo"), F.col("node").alias("hi"), F.col("h.comp").alias("a"), F.col("comp").alias("b")).distinct()
             more = _confirm(kept.save(pairs, "pairs"), sig, sets, percent, kept)
         else:
             more = kept.save(_across(texts, groups, live, words, percent, kept), "links")
@@ -280,7 +283,8 @@ def _across(texts: DataFrame, groups: DataFrame, live: DataFrame, words: int, pe
     Buckets are cut into blocks of about BLOCK * NODE bytes. Each pair of blocks of a bucket is a key of its own, so that a
     large bucket is spread over all tasks. A task compares two blocks at a time: pairs with close long signatures, each
     in the first bucket that its nodes share, by their whole sets. Nodes that the task has joined by links are not
-    compared again, so it gives fewer links than its blocks have nodes.
+    compared again, so it gives fewer links than its blocks have nodes. Where one of two nodes has left the first bucket
+    that they share, it was a hub there and they have been compared.
     """
     ids = live.select("node").distinct()
     named = _texts_of(texts, groups.select("node", "doc_id", "text_hash").join(ids, "node", "left_semi"))
@@ -337,9 +341,9 @@ def _across(texts: DataFrame, groups: DataFrame, live: DataFrame, words: int, pe
     return map_in_slices(tiles, run, "lo long, hi long, a long, b long", 1).distinct()
 
 
-def _unsettled(shared: DataFrame, label: DataFrame, hot: DataFrame | None) -> DataFrame:
-    """Rows of buckets whose nodes are in more than one component: node, band, comp."""
-    now = shared.select("node", "band").join(label, "node", "left").select("node", "band", F.coalesce("comp", "node").alias("comp"))
+def _unsettled(left: DataFrame, label: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """Rows of ``left`` (node, band) in buckets whose nodes there are in more than one component: node, band, comp."""
+    now = left.select("node", "band").join(label, "node", "left").select("node", "band", F.coalesce("comp", "node").alias("comp"))
     split = now.groupBy("band").agg(F.min("comp").alias("l"), F.max("comp").alias("h")).filter("l < h").select("band")
     return join_spread(now, split, "band", hot, F.col("node"))
 

@@ -75,6 +75,35 @@ def test_blocks_find_what_hubs_leave(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(data, 2)
 
 
+def test_pairs_that_met_their_hub_are_not_compared_again(spark, monkeypatch):
+    """Pairs that share buckets with nobody else and are too far apart for a link: one comparison settles them."""
+    compared = []
+
+    def confirm(pairs, *rest, was=minhash._confirm):
+        compared.append(pairs.count())
+        return was(pairs, *rest)
+
+    monkeypatch.setattr(minhash, "_confirm", confirm)
+    monkeypatch.setattr(minhash, "_across", lambda *a: pytest.fail("what was compared already is compared in full"))
+    rng = random.Random(3)
+    texts = []
+    for k in range(40):
+        own = [f"p{k}w{i}" for i in range(100)]
+        texts += [" ".join(own), " ".join(own[:84] + [f"q{k}w{rng.random()}" for _ in range(16)])]
+    data = list(enumerate(texts))
+    got = minhash.near_duplicates(spark.createDataFrame([(i, t, "") for i, t in data], DOCS), 2).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(data, 2) == {i: (99, i) for i, _ in data}
+    assert len(compared) == 1 and 30 <= compared[0] <= 40
+
+
+def test_nodes_that_lost_their_hub_still_meet(spark):
+    """One bucket whose links are all between nodes that the first hubs are not linked with."""
+    core = [f"c{i}" for i in range(70)]
+    data = [(i, " ".join(core + [f"own{100 + i // 2 if i > 11 else i}x{j}" for j in range(30 if i <= 11 else 28)] + [f"end{i}"])) for i in range(40)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(spark.createDataFrame([(i, t, "") for i, t in data], DOCS), 2).collect()}
+    assert got == brute(data, 2) and len({c for _, c in got.values()}) == 26
+
+
 def test_repeated_rows_null_ids_and_no_rows(spark):
     rows = [(1, "a b c d e f", "n"), (1, "a b c d e f", "n"), (None, "a b c d e f", "n"), (2, None, "n")]
     got = sorted((str(r.doc_id), r.component_id, r.kept) for r in minhash.near_duplicates(spark.createDataFrame(rows, DOCS), 2).collect())
